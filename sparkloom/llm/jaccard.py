@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +49,8 @@ MOST_FREQUENT = 400_000
 #: Classes in a block of a meeting.
 BLOCK = 512
 LEAF = 16
+#: Wanted sets (16 bytes each) that are broadcast; more are shuffled.
+BROADCAST_ROWS = 500_000
 
 
 def set_id(hashes: np.ndarray) -> int:
@@ -75,22 +78,25 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int, column: int = 1) -> Iter
 
 
 def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """kind 0: doc_id, set id and set size of every row. kind 1: a shingle often seen in a window, and how often."""
+    """kind 0: doc_id, set id, set size and point of every row. kind 1: a shingle often seen in a window, and how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         window: list[np.ndarray] = []
+        held = 0
 
         def often() -> pa.RecordBatch:
-            value, count = np.unique(np.concatenate(window), return_counts=True) if window else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            value, count = np.unique(np.concatenate(window), return_counts=True)
             value, count = value[count >= OFTEN], count[count >= OFTEN]
             window.clear()
-            return _rows(np.ones(len(value), np.int32), pa.nulls(len(value), pa.int64()), value.view(np.int64), count)
+            none = pa.nulls(len(value), pa.list_(pa.int32()))
+            return _rows(np.ones(len(value), np.int32), pa.nulls(len(value), pa.int64()), value.view(np.int64), count, none)
 
-        held = 0
         for batch, i, sets in _sets(batches, size):
             ids = [set_id(s) for s in sets]
-            yield _rows(np.zeros(len(sets), np.int32), batch.column(0).slice(i, len(sets)), np.array(ids, np.int64), np.array([len(s) for s in sets], np.int64))
+            flat = np.concatenate([points(s) for s in sets]) if sets else np.zeros(0, np.int64)
+            point = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * GROUPS), pa.array(flat, pa.int32()))
+            yield _rows(np.zeros(len(sets), np.int32), batch.column(0).slice(i, len(sets)), np.array(ids, np.int64), np.array([len(s) for s in sets], np.int64), point)
             for x, s in zip(ids, sets, strict=True):
                 if x not in seen and len(s):
                     seen.add(x)
@@ -104,11 +110,11 @@ def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         if window:
             yield often()
 
-    return with_text(docs).mapInArrow(run, "kind int, doc_id long, id long, n long")
+    return with_text(docs).mapInArrow(run, "kind int, doc_id long, id long, n long, point array<int>")
 
 
-def _rows(kind, doc, value, n) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), doc if isinstance(doc, pa.Array) else pa.array(doc, pa.int64()), pa.array(value, pa.int64()), pa.array(n, pa.int64())], names=["kind", "doc_id", "id", "n"])
+def _rows(kind, doc, value, n, point) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), doc, pa.array(value, pa.int64()), pa.array(n, pa.int64()), point], names=["kind", "doc_id", "id", "n", "point"])
 
 
 def frequent_shingles(rows: DataFrame, most: int = MOST_FREQUENT) -> DataFrame:
@@ -149,13 +155,18 @@ def meetings(docs: DataFrame, frequent, size: int = SHINGLE, threshold: int = TH
     return with_text(docs).mapInArrow(run, "sig long, sid long, hot boolean")
 
 
+def _pivot_rank(sid: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """An order of a meeting's members that differs from meeting to meeting."""
+    return mix(sid.view(np.uint64) ^ mix(sig.view(np.uint64)))
+
+
 def _companions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition that holds whole meetings: the members of those with two sets or more, and the smallest of them."""
+    """Of a partition that holds whole meetings: the members of those with two sets or more, and the pivot of each."""
     parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
     if not parts:
         return
     sig, sid = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((sid, sig))
+    order = np.lexsort((_pivot_rank(sid, sig), sig))
     sig, sid = sig[order], sid[order]
     new = np.append(True, (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1]))
     sig, sid = sig[new], sid[new]
@@ -169,34 +180,33 @@ def _companions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def companions(met: DataFrame) -> DataFrame:
     """sig, sid, pivot of all meetings of two different sets or more.
 
-    The few shingles of the broadcast table can hold a large part of all sets each: their smallest member
-    comes from a partial aggregate and is broadcast (its bound is the table's), so that their members are never
-    dealt out by shingle. All others are dealt by shingle.
+    The few shingles of the broadcast table can hold a large part of all sets each: their pivot comes from a
+    partial aggregate and is broadcast (its bound is the table's), so that their members are never dealt out by
+    shingle. All others are dealt by shingle.
     """
     cold = met.where("NOT hot").select("sig", "sid").repartition("sig").mapInArrow(_companions, "sig long, sid long, pivot long")
     hot = met.where("hot").select("sig", "sid")
-    low = hot.groupBy("sig").agg(F.min("sid").alias("pivot"), F.max("sid").alias("top")).where("pivot <> top").select("sig", "pivot")
-    return cold.unionByName(hot.join(F.broadcast(low), "sig").select("sig", "sid", "pivot"))
+    by_sig = hot.groupBy("sig").agg(F.min(F.struct(F.xxhash64("sid", "sig").alias("r"), "sid"))["sid"].alias("pivot"), F.min("sid").alias("low"), F.max("sid").alias("top"))
+    return cold.unionByName(hot.join(F.broadcast(by_sig.where("low <> top").select("sig", "pivot")), "sig").select("sig", "sid", "pivot"))
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """sid, n, point and hashes of the wanted sets (doc_id, sid), from their documents' texts."""
-    joined = with_text(docs).join(wanted, "doc_id").select("sid", "text")
+    """sid and hashes of the wanted sets (doc_id, sid), from their documents' texts, once each.
+
+    Up to ``BROADCAST_ROWS`` wanted sets are broadcast to the texts; more are joined by shuffle.
+    """
+    small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    joined = with_text(docs).join(F.broadcast(wanted) if small else wanted, "doc_id").select("sid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.int64())
         for batch, i, sets in _sets(batches, size):
             ids = batch.column(0).slice(i, len(sets)).to_pylist()
             own = [(x, s) for x, s in zip(ids, sets, strict=True) if set_id(s) == x]
-            point = [points(s) for _, s in own]
             off = np.concatenate([[0], np.cumsum([len(s) for _, s in own])]).astype(np.int32)
-            flat = np.concatenate([s for _, s in own]).view(np.int64) if own else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x for x, _ in own], pa.int64()), pa.array([len(s) for _, s in own], pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * GROUPS), pa.array(np.concatenate(point) if point else np.zeros(0, np.int64), pa.int32())), pa.ListArray.from_arrays(pa.array(off), pa.array(flat)).cast(kind)],
-                names=["sid", "n", "point", "hashes"],
-            )
+            flat = np.concatenate([np.sort(s.view(np.int64)) for _, s in own]) if own else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in own], pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], names=["sid", "hashes"])
 
-    return joined.mapInArrow(run, "sid long, n long, point array<int>, hashes array<long>")
+    return joined.mapInArrow(run, "sid long, hashes array<long>").dropDuplicates(["sid"])
 
 
 def reaches(shared, n_a, n_b, threshold: int = THRESHOLD):
@@ -232,7 +242,8 @@ class RTree:
     def query(self, q: np.ndarray, n: int, threshold: int) -> np.ndarray:
         """Rows whose point allows a link with a set of n shingles at point q."""
         nodes = np.zeros(1, np.int64)
-        for corner, low, high in reversed(self.levels):
+        widths = [len(self.point), *(len(c) for c, _, _ in self.levels)]
+        for below, (corner, low, high) in zip(reversed(widths[:-1]), reversed(self.levels), strict=True):
             c = corner[nodes]
             most = np.minimum(np.minimum(c, q).sum(1), np.minimum(high[nodes], n))
             # the sizes that a set in this node can have at best: from low to high
@@ -240,16 +251,29 @@ class RTree:
             if not len(nodes):
                 return nodes
             nodes = (nodes[:, None] * self.leaf + np.arange(self.leaf)).ravel()
-            below = self._width(corner)
             nodes = nodes[nodes < below]
         shared = np.minimum(self.point[nodes], q).sum(1)
         return self.order[nodes[reaches(shared, n, self.size[nodes], threshold)]]
 
-    def _width(self, corner: np.ndarray) -> int:
-        for k, (c, _, _) in enumerate(self.levels):
-            if c is corner:
-                return len(self.levels[k - 1][0]) if k else len(self.point)
-        raise AssertionError
+
+def _by_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole tasks, from batches sorted by task."""
+    held: pa.Table | None = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        held = t if held is None else pa.concat_tables([held, t])
+        task = held.column("task").to_numpy()
+        last = int(np.searchsorted(task, task[-1], side="left")) if len(task) else 0
+        if last:
+            yield held.slice(0, last)
+            held = held.slice(last)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _heads(task: np.ndarray) -> list[tuple[int, int]]:
+    at = np.append(np.flatnonzero(np.append(True, task[1:] != task[:-1])), len(task)).tolist()
+    return list(zip(at[:-1], at[1:], strict=True))
 
 
 def _block_pairs(threshold: int):
@@ -276,26 +300,11 @@ def _block_pairs(threshold: int):
         return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def whole_tasks():
-            held: pa.Table | None = None
-            for batch in batches:
-                t = pa.Table.from_batches([batch])
-                held = t if held is None else pa.concat_tables([held, t])
-                task = held.column("task").to_numpy()
-                last = int(np.searchsorted(task, task[-1], side="left")) if len(task) else 0
-                if last:
-                    yield held.slice(0, last)
-                    held = held.slice(last)
-            if held is not None and held.num_rows:
-                yield held
-
-        for t in whole_tasks():
+        for t in _by_task(batches):
             task, side, sid, comp, n = (t.column(c).to_numpy() for c in ("task", "side", "sid", "comp", "n"))
-            point = t.column("point").combine_chunks()
-            point = point.values.to_numpy(zero_copy_only=False)[point.offset * GROUPS : (point.offset + len(point)) * GROUPS].reshape(-1, GROUPS)
-            head = np.append(np.flatnonzero(np.append(True, task[1:] != task[:-1])), len(task)).tolist()
+            point = _stacked(t.column("point"))
             a, b = [], []
-            for i, j in zip(head[:-1], head[1:], strict=True):
+            for i, j in _heads(task):
                 x, y = pairs(side[i:j], comp[i:j], n[i:j], point[i:j], bool((side[i:j] == 2).all()))
                 a.append(sid[i:j][x])
                 b.append(sid[i:j][y])
@@ -306,22 +315,70 @@ def _block_pairs(threshold: int):
     return run
 
 
-def allowed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def _stacked(column: pa.ChunkedArray) -> np.ndarray:
+    return pc.list_flatten(column).to_numpy().reshape(-1, GROUPS)
+
+
+def allowed(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) that their points let link."""
-    light = sets.select("sid", "n", "point")
+    light = classes.select("sid", "n", "point")
     both = pairs.join(light.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("p")), "a").join(light.select(F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("q")), "b")
     most = F.aggregate(F.zip_with("p", "q", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     return both.where(reaches(most, F.col("n_a"), F.col("n_b"), threshold)).select("a", "b")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) that link, on the whole sets."""
-    whole = sets.select("sid", "n", "hashes")
-    both = pairs.join(whole.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("hashes").alias("x")), "a").join(whole.select(F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("hashes").alias("y")), "b")
-    return both.where(reaches(F.size(F.array_intersect("x", "y")), F.col("n_a"), F.col("n_b"), threshold)).select("a", "b")
+def _spanning(threshold: int):
+    """Of partitions sorted by task and kind: links that join what a task's earlier links have not joined yet."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_task(batches):
+            task, kind, a, b = (t.column(c).to_numpy() for c in ("task", "kind", "a", "b"))
+            hashes = t.column("hashes").combine_chunks()
+            out_a, out_b = [], []
+            for i, j in _heads(task):
+                k = i + int((kind[i:j] == 0).sum())
+                sets = {x: hashes[i + r].values.to_numpy() for r, x in enumerate(a[i:k].tolist())}
+                up = {x: x for x in sets}
+
+                def root(x, up=up):
+                    while up[x] != x:
+                        up[x] = x = up[up[x]]
+                    return x
+
+                for x, y in zip(a[k:j].tolist(), b[k:j].tolist(), strict=True):
+                    if x not in sets or y not in sets or (p := root(x)) == (q := root(y)):
+                        continue
+                    s, r = sets[x], sets[y]
+                    at = np.minimum(np.searchsorted(s, r), len(s) - 1)
+                    if reaches(int((s[at] == r).sum()), len(s), len(r), threshold):
+                        up[max(p, q)] = min(p, q)
+                        out_a.append(x)
+                        out_b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
-def cross_pairs(members: DataFrame, label: DataFrame, sets: DataFrame, threshold: int, block: int = BLOCK) -> DataFrame:
+    return run
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, threshold: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) among the pairs, enough of them to join whatever the pairs that link do.
+
+    Pairs that hang together are verified together, in blocks: a task reads the sets of at most two blocks once,
+    however many pairs it has, and skips pairs it has joined already.
+    """
+    pairs = cut(pairs)
+    family = cut(components(pairs))
+    sizes = family.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    placed = family.join(sizes, "component").select("vertex", "component", F.pmod(F.xxhash64("vertex"), F.ceil(F.col("size") / block)).alias("blk"))
+    tasked = pairs.join(placed.select(F.col("vertex").alias("a"), "component", F.col("blk").alias("i")), "a").join(placed.select(F.col("vertex").alias("b"), F.col("blk").alias("j")), "b")
+    tasked = cut(tasked.select("a", "b", F.xxhash64("component", F.least("i", "j"), F.greatest("i", "j")).alias("task")))
+    sets = whole_sets(docs, family.select(F.col("vertex").alias("sid")).join(classes.select("sid", "doc_id"), "sid").where("doc_id IS NOT NULL").select("doc_id", "sid"), size)
+    need = tasked.select("task", F.col("a").alias("sid")).unionByName(tasked.select("task", F.col("b").alias("sid"))).distinct()
+    held = need.join(sets, "sid").select("task", F.lit(0).alias("kind"), F.col("sid").alias("a"), F.lit(0).cast("long").alias("b"), "hashes")
+    rows = held.unionByName(tasked.select("task", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("array<long>").alias("hashes")))
+    return rows.repartition("task").sortWithinPartitions("task", "kind", "a", "b").mapInArrow(_spanning(threshold), "a long, b long")
+
+
+def cross_pairs(members: DataFrame, label: DataFrame, classes: DataFrame, threshold: int, block: int = BLOCK) -> DataFrame:
     """Pairs of different components within a meeting that their points let link.
 
     Of a meeting, the classes outside its pivot's component are probes. Probes and the others are cut in blocks; every
@@ -339,7 +396,7 @@ def cross_pairs(members: DataFrame, label: DataFrame, sets: DataFrame, threshold
     probe = at.where("probe AND n_probe > 1").select("sid", "comp", "sig", F.col("blk"), F.explode(upto(F.col("np"))).alias("k"))
     probe = probe.select("sid", "comp", "sig", F.lit("p").alias("what"), F.least("blk", "k").alias("i"), F.greatest("blk", "k").alias("j"), F.when(F.col("blk") == F.col("k"), 2).when(F.col("blk") < F.col("k"), 0).otherwise(1).alias("side"))
     rows = main.unionByName(probe_main).unionByName(probe)
-    tasks = rows.select("sid", "comp", "side", F.xxhash64("sig", "what", "i", "j").alias("task")).join(sets.select("sid", "n", "point"), "sid")
+    tasks = rows.select("sid", "comp", "side", F.xxhash64("sig", "what", "i", "j").alias("task")).join(classes.select("sid", "n", "point"), "sid")
     dealt_out = tasks.select("task", "side", "sid", "comp", "n", "point").repartition("task").sortWithinPartitions("task")
     return dealt_out.mapInArrow(_block_pairs(threshold), "a long, b long").distinct()
 
@@ -349,18 +406,16 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, threshold: int = TH
     rows = cut(shingle_sets(docs, size))
     own = rows.where("kind = 0").select("doc_id", F.col("id").alias("sid"), F.col("n").alias("n_shingles"))
     # the table is bounded by MOST_FREQUENT rows of 16 bytes
-    table_ = np.array(sorted((r["id"] & ((1 << 64) - 1), r["n"]) for r in frequent_shingles(rows).toLocalIterator()), np.uint64).reshape(-1, 2)
-    members = cut(companions(meetings(docs, (table_[:, 0].copy(), table_[:, 1].astype(np.int64)), size, threshold)))
-    classes = own.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    wanted = members.select("sid").distinct().join(classes, "sid").where("doc_id IS NOT NULL").select("doc_id", "sid")
-    sets = cut(whole_sets(docs, wanted, size).dropDuplicates(["sid"]))
-    stars = members.where("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct()
-    links = cut(verified(allowed(stars, sets, threshold), sets, threshold))
-    label = components(links)
-    more = cut(verified(cross_pairs(members, label, sets, threshold), sets, threshold))
+    often = np.array(sorted((r["id"] & ((1 << 64) - 1), r["n"]) for r in frequent_shingles(rows).toLocalIterator()), np.uint64).reshape(-1, 2)
+    members = cut(companions(meetings(docs, (often[:, 0].copy(), often[:, 1].astype(np.int64)), size, threshold)))
+    classes = cut(rows.where("kind = 0 AND n > 0").groupBy(F.col("id").alias("sid")).agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point")))
+    stars = members.where("sid <> pivot").select(F.least("pivot", "sid").alias("a"), F.greatest("pivot", "sid").alias("b")).distinct()
+    links = cut(verified(allowed(stars, classes, threshold), docs, classes, size, threshold))
+    label = cut(components(links))
+    more = cut(verified(cross_pairs(members, label, classes, threshold), docs, classes, size, threshold))
     if not more.isEmpty():
         label = components(links.unionByName(more))
-    named = classes.join(label.withColumnRenamed("vertex", "sid"), "sid", "left").select("sid", "doc_id", F.coalesce("component", "sid").alias("component"))
+    named = classes.select("sid", "doc_id").join(label.withColumnRenamed("vertex", "sid"), "sid", "left").select("sid", "doc_id", F.coalesce("component", "sid").alias("component"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_set = named.join(smallest, "component").select("sid", "component_id")
     found = own.where("n_shingles > 0").join(by_set, "sid", "left").select("doc_id", "n_shingles", F.col("sid").alias("set_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
