@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, packing
+from . import chat, decontaminate, jaccard, packing, pii, quality
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
+    "op2_quality_classifier": quality.op2_quality_classifier,
     "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op8_chat_formatting": chat.op8_chat_formatting,
     "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_chat_formatting": chat.ORACLE_SQL}
