@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard, packing, pii, quality
+from . import audio, chat, decontaminate, html, jaccard, packing, pii, quality, sharding, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_quality_classifier": quality.op2_quality_classifier,
+    "op3_audio_features": audio.op3_audio_features,
     "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op6_sharding": sharding.op6_sharding,
+    "op7_warc": warc.op7_warc,
     "op8_chat_formatting": chat.op8_chat_formatting,
+    "op9_html_extraction": html.op9_html_extraction,
     "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
 }
 ORACLE_SQL: dict[str, str] = {"op8_chat_formatting": chat.ORACLE_SQL}
