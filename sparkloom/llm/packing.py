@@ -12,16 +12,19 @@ occur; a null doc_id is carried along; an empty table gives no rows; other colum
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table, with_text
+from .words import chunks, utf8
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -30,53 +33,68 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 FAN_IN = 20_000
 #: A sequence with no more than this share free is emitted at once.
 SLACK = 0.01
-#: Entries of a worker's word cache; it is emptied when it is full, which changes speed only.
-CACHE = 1_000_000
+#: Entries of a worker's cache; a full one is emptied, which changes speed only.
+CACHE = 800_000
+CHUNK_BYTES = 8 << 20
 
 _TAIL = ".,*%$#&!|;:?"
-_SPACE = re.compile("[ \n]")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next free one."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = iter(range(256, 512))
+    return {b: chr(b) if b in shown else chr(next(hidden)) for b in range(256)}
 
 
 class WordEncoder:
-    """The tokenizer's ids of whole texts as little-endian bytes, through a cache of words.
+    """The tokenizer's ids of whole texts as arrays, through a cache of words.
 
     The tokenizer drops white space and never merges across it, nor between a letter or digit and
     punctuation, so a text's ids are those of its words in a row. Words are split at the space and the
-    newline alone; every other character is left to the tokenizer.
+    newline alone; every other character is left to the tokenizer. A word of letters in normal form goes
+    to its merges directly, as the steps before them would leave it as it is.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.cores = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.cores = Tokenizer.from_file(path), {}
+        self.letters = _byte_letters()
 
-    def _learn(self, new: list[str]) -> None:
-        parts = []
-        for w in new:
-            core = w.rstrip(_TAIL)
-            if not core or not core[-1].isalnum():
-                core, tail = w, ""
+    def _core(self, text: str) -> bytes:
+        ids = self.cores.get(text)
+        if ids is None:
+            low = text.lower()
+            if text.isalpha() and low.isalpha() and "\u03a3" not in text and is_normalized("NFC", text):
+                found = [t.id for t in self.tokenizer.model.tokenize(low.encode().decode("latin-1").translate(self.letters))]
             else:
-                tail = w[len(core) :]
-            parts.append((core.lower() if core.isascii() and "<|" not in core else core, tail))
-        unseen = list({x for pair in parts for x in pair if x not in self.cores})
-        for x, e in zip(unseen, self.tokenizer.encode_batch_fast(unseen, add_special_tokens=False), strict=True):
-            ids = e.ids
-            self.cores[x] = struct.pack(f"<{len(ids)}I", *ids)
-        for w, (core, tail) in zip(new, parts, strict=True):
-            self.words[w] = self.cores[core] + self.cores[tail]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_SPACE.split(t) for t in texts]
-        new = set().union(*split) - self.words.keys()
-        if len(self.words) + len(new) > CACHE:
-            self.words.clear()
-            self.cores.clear()
-            new = set().union(*split)
-        if new:
-            self._learn(list(new))
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+                found = self.tokenizer.encode(text, add_special_tokens=False).ids
+            if len(self.cores) >= CACHE:
+                self.cores.clear()
+            self.cores[text] = ids = struct.pack(f"<{len(found)}I", *found)
+        return ids
+
+    def word(self, word: str) -> bytes:
+        core = word.rstrip(_TAIL)
+        if not core or not core[-1].isalnum():
+            return self._core(word) if word else b""
+        ids = self._core(core.lower() if core.isascii() and "<|" not in core else core)
+        return ids + self._core(word[len(core) :]) if len(core) < len(word) else ids
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in a row, and where each text's begin (one longer than texts)."""
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = parts.flatten().dictionary_encode()
+        of = [self.word(w) for w in coded.dictionary.to_pylist()]
+        size = np.fromiter(map(len, of), np.int64, len(of)) // 4
+        ids, begin = np.frombuffer(b"".join(of), "<u4"), np.cumsum(size) - size
+        index = coded.indices.to_numpy()
+        count = size[index]
+        ends = np.cumsum(count)
+        flat = ids[np.repeat(begin[index] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
+        words_before = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))])
+        return flat, np.concatenate([[0], ends])[words_before]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -100,18 +118,18 @@ def tokenise(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(path), struct.pack("<I", 0)
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         for batch in batches:
-            out: list[tuple] = []
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for k in range(0, len(ids), 200):
-                for doc, raw in zip(ids[k : k + 200], encode.encode(texts.slice(k, 200).to_pylist()), strict=True):
-                    raw += end
+            _, offsets = utf8(batch.column(1))
+            for i, j in chunks(offsets, CHUNK_BYTES):
+                flat, begin = encode.encode(batch.column(1).slice(i, j - i))
+                out: list[tuple] = []
+                for doc, a, b in zip(batch.column(0).slice(i, j - i).to_pylist(), begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+                    raw = flat[a:b].tobytes() + end
                     for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
                         part = raw[at : at + 4 * capacity]
                         out.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            columns = list(zip(*out, strict=True)) if out else [()] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return with_text(docs).mapInArrow(run, PIECES)
 
