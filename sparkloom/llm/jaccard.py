@@ -29,7 +29,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,10 +39,12 @@ from .words import NONSPACE, chunks, mix, shingles, utf8, word_hashes
 SHINGLE = 5
 #: Threshold in hundredths: link when 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 75
-GROUPS = 64
+#: Groups of a point: four times as many for each step that a set reaches, so that a group stays small.
+GROUPS = 256
+STEPS = (1024, 4096, 16384)
 #: A shingle that occurs in so many different sets of one window goes last in the order.
-OFTEN = 4
-WINDOW_SHINGLES = 1_000_000
+OFTEN = 2
+WINDOW_SHINGLES = 2_000_000
 #: Bound of the broadcast table of frequent shingles; the most frequent ones are kept (this bounds memory, not the result).
 MOST_FREQUENT = 400_000
 #: Classes in a block of a meeting.
@@ -60,8 +61,33 @@ def set_id(hashes: np.ndarray) -> int:
     return int(mix(np.full(1, total, np.uint64)).view(np.int64)[0])
 
 
+def groups(n: int) -> int:
+    return GROUPS << 2 * sum(n >= step for step in STEPS)
+
+
 def points(hashes: np.ndarray) -> np.ndarray:
-    return np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
+    """Counts by group; finer groups nest in coarser ones, as a group is a hash's leading bits."""
+    g = groups(len(hashes))
+    return np.bincount((hashes >> np.uint64(64 - (g.bit_length() - 1))).astype(np.int64), minlength=g)
+
+
+def packed(point: list[np.ndarray]) -> pa.Array:
+    """Points as binaries of 32-bit counts, or 8-bit ones where all are small enough (the first byte tells)."""
+    return pa.array([b"\1" + p.astype("<u1").tobytes() if p.max() < 256 else b"\4" + p.astype("<u4").tobytes() for p in point], pa.binary())
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u1" if raw[0] == 1 else "<u4", offset=1).astype(np.int32)
+
+
+def coarse(point: np.ndarray, g: int = GROUPS) -> np.ndarray:
+    return point if len(point) == g else point.reshape(g, -1).sum(1)
+
+
+def most_shared(p: np.ndarray, q: np.ndarray) -> int:
+    """What two sets share at most, in the finest groups both have."""
+    g = min(len(p), len(q))
+    return int(np.minimum(coarse(p, g), coarse(q, g)).sum())
 
 
 def leading(n: int, threshold: int = THRESHOLD) -> int:
@@ -89,14 +115,12 @@ def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             value, count = np.unique(np.concatenate(window), return_counts=True)
             value, count = value[count >= OFTEN], count[count >= OFTEN]
             window.clear()
-            none = pa.nulls(len(value), pa.list_(pa.int32()))
+            none = pa.nulls(len(value), pa.binary())
             return _rows(np.ones(len(value), np.int32), pa.nulls(len(value), pa.int64()), value.view(np.int64), count, none)
 
         for batch, i, sets in _sets(batches, size):
             ids = [set_id(s) for s in sets]
-            flat = np.concatenate([points(s) for s in sets]) if sets else np.zeros(0, np.int64)
-            point = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * GROUPS), pa.array(flat, pa.int32()))
-            yield _rows(np.zeros(len(sets), np.int32), batch.column(0).slice(i, len(sets)), np.array(ids, np.int64), np.array([len(s) for s in sets], np.int64), point)
+            yield _rows(np.zeros(len(sets), np.int32), batch.column(0).slice(i, len(sets)), np.array(ids, np.int64), np.array([len(s) for s in sets], np.int64), packed([points(s) for s in sets]))
             for x, s in zip(ids, sets, strict=True):
                 if x not in seen and len(s):
                     seen.add(x)
@@ -110,7 +134,7 @@ def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         if window:
             yield often()
 
-    return with_text(docs).mapInArrow(run, "kind int, doc_id long, id long, n long, point array<int>")
+    return with_text(docs).mapInArrow(run, "kind int, doc_id long, id long, n long, point binary")
 
 
 def _rows(kind, doc, value, n, point) -> pa.RecordBatch:
@@ -166,6 +190,11 @@ def _companions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not parts:
         return
     sig, sid = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(sig)
+    shared = sig[order]
+    again = np.append(shared[1:] == shared[:-1], False)
+    again[1:] |= again[:-1]
+    sig, sid = shared[again], sid[order[again]]
     order = np.lexsort((_pivot_rank(sid, sig), sig))
     sig, sid = sig[order], sid[order]
     new = np.append(True, (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1]))
@@ -191,22 +220,28 @@ def companions(met: DataFrame) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """sid and hashes of the wanted sets (doc_id, sid), from their documents' texts, once each.
+    """task, sid and hashes of the wanted sets (doc_id, sid, task), from their documents' texts.
 
-    Up to ``BROADCAST_ROWS`` wanted sets are broadcast to the texts; more are joined by shuffle.
+    Up to ``BROADCAST_ROWS`` wanted rows are broadcast to the texts; more are joined by shuffle. A task that reads
+    a wanted text again emits it once.
     """
     small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    joined = with_text(docs).join(F.broadcast(wanted) if small else wanted, "doc_id").select("sid", "text")
+    joined = with_text(docs).join(F.broadcast(wanted) if small else wanted, "doc_id").select("sid", "text", "task")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch, i, sets in _sets(batches, size):
-            ids = batch.column(0).slice(i, len(sets)).to_pylist()
-            own = [(x, s) for x, s in zip(ids, sets, strict=True) if set_id(s) == x]
-            off = np.concatenate([[0], np.cumsum([len(s) for _, s in own])]).astype(np.int32)
-            flat = np.concatenate([np.sort(s.view(np.int64)) for _, s in own]) if own else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in own], pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], names=["sid", "hashes"])
+            ids, tasks = (batch.column(c).slice(i, len(sets)).to_pylist() for c in (0, 2))
+            own = []
+            for x, t, s in zip(ids, tasks, sets, strict=True):
+                if (x, t) not in seen and set_id(s) == x:
+                    seen.add((x, t))
+                    own.append((x, t, np.sort(s.view(np.int64))))
+            off = np.concatenate([[0], np.cumsum([len(s) for *_, s in own])]).astype(np.int32)
+            flat = np.concatenate([s for *_, s in own]) if own else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([t for _, t, _ in own], pa.int64()), pa.array([x for x, *_ in own], pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], names=["task", "sid", "hashes"])
 
-    return joined.mapInArrow(run, "sid long, hashes array<long>").dropDuplicates(["sid"])
+    return joined.mapInArrow(run, "task long, sid long, hashes array<long>")
 
 
 def reaches(shared, n_a, n_b, threshold: int = THRESHOLD):
@@ -279,7 +314,7 @@ def _heads(task: np.ndarray) -> list[tuple[int, int]]:
 def _block_pairs(threshold: int):
     """Of partitions sorted by task: pairs of different components that their points let link."""
 
-    def pairs(side: np.ndarray, comp: np.ndarray, n: np.ndarray, point: np.ndarray, inner: bool) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(side: np.ndarray, comp: np.ndarray, n: np.ndarray, point: np.ndarray, fine: list[np.ndarray], inner: bool) -> tuple[np.ndarray, np.ndarray]:
         left = np.arange(len(n)) if inner else np.flatnonzero(side == 0)
         right = np.arange(len(n)) if inner else np.flatnonzero(side == 1)
         a, b = [], []
@@ -294,6 +329,8 @@ def _block_pairs(threshold: int):
             hits = hits[comp[hits] != comp[i]]
             if inner:
                 hits = hits[hits > i]
+            if len(fine[i]) > GROUPS:
+                hits = hits[[bool(reaches(most_shared(fine[i], fine[k]), n[i], n[k], threshold)) for k in hits.tolist()]] if len(hits) else hits
             if len(hits):
                 a.append(np.full(len(hits), i))
                 b.append(hits)
@@ -302,10 +339,11 @@ def _block_pairs(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _by_task(batches):
             task, side, sid, comp, n = (t.column(c).to_numpy() for c in ("task", "side", "sid", "comp", "n"))
-            point = _stacked(t.column("point"))
+            fine = [unpacked(x) for x in t.column("point").to_pylist()]
+            point = np.stack([coarse(x) for x in fine])
             a, b = [], []
             for i, j in _heads(task):
-                x, y = pairs(side[i:j], comp[i:j], n[i:j], point[i:j], bool((side[i:j] == 2).all()))
+                x, y = pairs(side[i:j], comp[i:j], n[i:j], point[i:j], fine[i:j], bool((side[i:j] == 2).all()))
                 a.append(sid[i:j][x])
                 b.append(sid[i:j][y])
             a, b = np.concatenate(a), np.concatenate(b)
@@ -315,16 +353,19 @@ def _block_pairs(threshold: int):
     return run
 
 
-def _stacked(column: pa.ChunkedArray) -> np.ndarray:
-    return pc.list_flatten(column).to_numpy().reshape(-1, GROUPS)
+def allowed(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) that their points let link; sizes are compared first, as they are cheap to join."""
+    side = lambda c, *names: classes.select(F.col("sid").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in names])
+    sized = pairs.join(side("a", "n"), "a").join(side("b", "n"), "b").where(reaches(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b"), threshold))
+    both = sized.select("a", "b").join(side("a", "n", "point"), "a").join(side("b", "n", "point"), "b").select("a", "b", "n_a", "n_b", "point_a", "point_b")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = np.array([most_shared(unpacked(p), unpacked(q)) for p, q in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
+            ok = reaches(most, batch.column(2).to_numpy(), batch.column(3).to_numpy(), threshold)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
-def allowed(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) that their points let link."""
-    light = classes.select("sid", "n", "point")
-    both = pairs.join(light.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("p")), "a").join(light.select(F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("q")), "b")
-    most = F.aggregate(F.zip_with("p", "q", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    return both.where(reaches(most, F.col("n_a"), F.col("n_b"), threshold)).select("a", "b")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def _spanning(threshold: int):
@@ -371,9 +412,9 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, t
     placed = family.join(sizes, "component").select("vertex", "component", F.pmod(F.xxhash64("vertex"), F.ceil(F.col("size") / block)).alias("blk"))
     tasked = pairs.join(placed.select(F.col("vertex").alias("a"), "component", F.col("blk").alias("i")), "a").join(placed.select(F.col("vertex").alias("b"), F.col("blk").alias("j")), "b")
     tasked = cut(tasked.select("a", "b", F.xxhash64("component", F.least("i", "j"), F.greatest("i", "j")).alias("task")))
-    sets = whole_sets(docs, family.select(F.col("vertex").alias("sid")).join(classes.select("sid", "doc_id"), "sid").where("doc_id IS NOT NULL").select("doc_id", "sid"), size)
     need = tasked.select("task", F.col("a").alias("sid")).unionByName(tasked.select("task", F.col("b").alias("sid"))).distinct()
-    held = need.join(sets, "sid").select("task", F.lit(0).alias("kind"), F.col("sid").alias("a"), F.lit(0).cast("long").alias("b"), "hashes")
+    wanted = cut(need.join(classes.select("sid", "doc_id"), "sid").where("doc_id IS NOT NULL").select("doc_id", "sid", "task"))
+    held = whole_sets(docs, wanted, size).select("task", F.lit(0).alias("kind"), F.col("sid").alias("a"), F.lit(0).cast("long").alias("b"), "hashes")
     rows = held.unionByName(tasked.select("task", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("array<long>").alias("hashes")))
     return rows.repartition("task").sortWithinPartitions("task", "kind", "a", "b").mapInArrow(_spanning(threshold), "a long, b long")
 
