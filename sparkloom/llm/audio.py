@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, with_text
+from .common import table, trimmed, with_text
 
 RATE = 16_000
 UP, DOWN = 1, 2
@@ -192,7 +192,7 @@ def audio_features(media: DataFrame, with_tensors: bool = True) -> DataFrame:
             fields = [pa.field(n, kinds[t]) for n, t in (f.split() for f in FEATURES.split(", ")[:-1])] + [pa.field("spans", pa.list_(pa.struct([("start_ms", pa.float64()), ("end_ms", pa.float64())])))]
             yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in fields], schema=pa.schema(fields))
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, FEATURES)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(trimmed(run), FEATURES)
 
 
 def store(docs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, table, with_text
+from .common import bounded, free_name, table, trimmed, with_text
 from .words import ALNUM, chunks, hashes, lowered, spans, utf8
 
 WINDOW = 10
@@ -245,13 +245,14 @@ def match_report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
             columns.append(pa.array([[{"item_id": i, "word_start": p, "item_word_start": q, "length": n} for i, p, q, n in sorted(x["matches"])] for x in found], schema.field("matches").type))
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return with_text(docs).mapInArrow(run, REPORT)
+    return with_text(docs).mapInArrow(trimmed(run), REPORT)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents without a benchmark window, all columns as they are."""
     text = free_name(docs.columns, "scanned_text")
     blocks = docs.sparkSession.sparkContext.broadcast(benchmark_blocks(benchmark, window, block_words))
+    bounded(docs.sparkSession)
     wide = docs.withColumn(text, F.col("text").cast("string"))
     kept = T.StructType(docs.schema.fields)
 
@@ -260,7 +261,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
             clean = pa.array([x["n_hit"] == 0 for x in _scan(batch.column(batch.num_columns - 1), blocks.value)], pa.bool_())
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(clean)
 
-    return wide.mapInArrow(run, kept)
+    return wide.mapInArrow(trimmed(run), kept)
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

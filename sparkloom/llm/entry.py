@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, chat, decontaminate, html, jaccard, packing, pii, quality, sharding, warc
+from . import audio, chat, decontaminate, html, jaccard, oracles, packing, pii, quality, sharding, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -16,4 +16,9 @@ QUERIES = {
     "op9_html_extraction": html.op9_html_extraction,
     "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
 }
-ORACLE_SQL: dict[str, str] = {"op8_chat_formatting": chat.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op4_benchmark_decontamination": oracles.DECONTAMINATION,
+    "op7_warc": oracles.WARC,
+    "op8_chat_formatting": chat.ORACLE_SQL,
+    "op10_ngram_jaccard_join": oracles.JACCARD,
+}

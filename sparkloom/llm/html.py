@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import bounded, cut, table, trimmed
 
 #: Fixed values of HTML: elements without an end tag, raw text, what ends a paragraph, what a block is.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -227,7 +227,7 @@ def votes(pages: DataFrame) -> DataFrame:
             found = [Page(x or "").best() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None or x.score <= 0 else x.path for x in found], pa.string())], names=["host", "path"])
 
-    voted = pages.select(_host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(run, "host string, path string")
+    voted = pages.select(_host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(trimmed(run), "host string, path string")
     return voted.where("path IS NOT NULL").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -238,6 +238,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
 def extract_main(pages: DataFrame) -> DataFrame:
     """page_id, url and text of every page."""
+    bounded(pages.sparkSession)
     paths = cut(host_paths(pages))
     plain = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), _host(F.col("url")).alias("host"))
     joined = plain.join(paths, "host", "left").select("page_id", "url", "html", "path")
@@ -248,7 +249,7 @@ def extract_main(pages: DataFrame) -> DataFrame:
             text = [extract(h, p) for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string())], names=["page_id", "url", "text"])
 
-    return joined.mapInArrow(run, f"page_id {kind}, url string, text string")
+    return joined.mapInArrow(trimmed(run), f"page_id {kind}, url string, text string")
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,14 +8,14 @@ that cannot reach the threshold. What is left is verified on the whole sets.
 One tree over all points cannot be spread over a cluster, and points of unrelated documents of one
 length lie close together in any few dimensions, so trees are built over blocks of documents that may
 link at all: sets with similarity s share one of their first ``n - ceil(s n) + 1`` shingles in any fixed
-order, so documents meet by those shingles. The order puts shingles seen often within a window last, so
-passages that many documents share bring nobody together unless they make up most of a document. The
-order changes speed alone: no link is lost under any of them.
+order (and ``SHARED`` of the first ``SHARED - 1`` more), so documents meet by those shingles. The order puts shingles
+seen often within a window last, so passages that many documents share bring nobody together unless they make up
+most of a document. The order changes speed alone: no link is lost under any of them.
 
-Steps: (1) equal sets become one class. (2) Classes meet by their leading shingles. (3) The smallest class
+Steps: (1) equal sets become one class. (2) Classes meet by their leading shingles. (3) One class
 of each meeting is compared with the others, which settles copies of one source in one go. (4) Where
-a meeting still holds several components, its blocks of classes are joined through R-trees, again
-only between components. (5) Components of all links. Pairs within a component are never enumerated;
+a meeting still holds several components, pairs between them are found: in larger meetings block by block through
+R-trees, in small ones by counting how often a pair met. (5) Components of all links. Pairs within a component are never enumerated;
 pairs across components all are, if their points allow a link.
 
 Defined cases: null and empty texts have the empty set and link with nothing; fewer words than a
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, with_text
+from .common import cut, table, trimmed, with_text
 from .components import components
 from .words import NONSPACE, chunks, mix, shingles, utf8, word_hashes
 
@@ -42,12 +42,21 @@ THRESHOLD = 75
 #: Groups of a point: four times as many for each step that a set reaches, so that a group stays small.
 GROUPS = 256
 STEPS = (1024, 4096, 16384)
-#: A shingle that occurs in so many different sets of one window goes last in the order.
+#: A shingle that two sets of one window share counts as frequent. Windows hold 32-bit fingerprints of shingles.
 OFTEN = 2
-WINDOW_SHINGLES = 2_000_000
-#: Bound of the broadcast table of frequent shingles; the most frequent ones are kept (this bounds memory, not the result).
-MOST_FREQUENT = 400_000
-#: Classes in a block of a meeting.
+WINDOW_SHINGLES = 6_000_000
+#: Sets that a task remembers having met; it forgets them all when there are more, which repeats rows alone.
+SEEN = 200_000
+#: Bound of the frequent shingles that are gathered (12 bytes each), the most frequent ones, and slots of their table (a byte each).
+MOST_FREQUENT = 2_000_000
+SLOT_BITS = 24
+#: Shingles of this rank (the bits of a count) or more go by the way for crowded meetings.
+CROWDED = 6
+#: How many leading shingles a linked pair must share; as many more shingles lead, so none is lost.
+SHARED = 3
+#: A meeting of up to so many sets is small.
+SMALL = 32
+#: Classes in a block of a larger meeting.
 BLOCK = 512
 LEAF = 16
 #: Wanted sets (16 bytes each) that are broadcast; more are shuffled.
@@ -91,8 +100,9 @@ def most_shared(p: np.ndarray, q: np.ndarray) -> int:
 
 
 def leading(n: int, threshold: int = THRESHOLD) -> int:
-    """How many shingles of a set of n, first in the order, must hold one of any similar set's."""
-    return n - -(-threshold * n // 100) + 1
+    """How many shingles of a set of n, first in the order, must hold ``shared`` of any similar set's."""
+    least = -(-threshold * n // 100)
+    return n - least + min(SHARED, least)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int, column: int = 1) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
@@ -104,7 +114,7 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int, column: int = 1) -> Iter
 
 
 def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """kind 0: doc_id, set id, set size and point of every row. kind 1: a shingle often seen in a window, and how often."""
+    """kind 0: doc_id, set id, set size and point of every row. kind 1: fingerprint of a shingle often seen in a window, and how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -112,11 +122,13 @@ def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         held = 0
 
         def often() -> pa.RecordBatch:
-            value, count = np.unique(np.concatenate(window), return_counts=True)
-            value, count = value[count >= OFTEN], count[count >= OFTEN]
+            marks = np.concatenate(window)
             window.clear()
-            none = pa.nulls(len(value), pa.binary())
-            return _rows(np.ones(len(value), np.int32), pa.nulls(len(value), pa.int64()), value.view(np.int64), count, none)
+            marks.sort()
+            head = np.flatnonzero(np.append(True, marks[1:] != marks[:-1]))
+            count = np.diff(np.append(head, len(marks)))
+            value, count = marks[head[count >= OFTEN]], count[count >= OFTEN]
+            return _rows(np.ones(len(value), np.int32), pa.nulls(len(value), pa.int64()), value.astype(np.int64), count, pa.nulls(len(value), pa.binary()))
 
         for batch, i, sets in _sets(batches, size):
             ids = [set_id(s) for s in sets]
@@ -124,59 +136,69 @@ def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             for x, s in zip(ids, sets, strict=True):
                 if x not in seen and len(s):
                     seen.add(x)
-                    window.append(s)
+                    window.append(fingerprints(s))
                     held += len(s)
             if held >= WINDOW_SHINGLES:
                 yield often()
                 held = 0
-                if len(seen) > 1_000_000:
+                if len(seen) > SEEN:
                     seen.clear()
         if window:
             yield often()
 
-    return with_text(docs).mapInArrow(run, "kind int, doc_id long, id long, n long, point binary")
+    return with_text(docs).mapInArrow(trimmed(run), "kind int, doc_id long, id long, n long, point binary")
+
+
+def fingerprints(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(32)).astype(np.uint32)
 
 
 def _rows(kind, doc, value, n, point) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), doc, pa.array(value, pa.int64()), pa.array(n, pa.int64()), point], names=["kind", "doc_id", "id", "n", "point"])
 
 
-def frequent_shingles(rows: DataFrame, most: int = MOST_FREQUENT) -> DataFrame:
-    """The frequent shingles and their counts, ``most`` at most."""
-    return rows.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(most)
+def frequency_ranks(rows: DataFrame, most: int = MOST_FREQUENT) -> np.ndarray:
+    """A table of ``2**SLOT_BITS`` ranks by a shingle's leading bits: 0, or the bits of the count of a frequent shingle there."""
+    top = rows.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(most).toArrow()
+    ranks = np.zeros(1 << SLOT_BITS, np.uint8)
+    count = top.column("n").to_numpy()
+    slot = top.column("id").to_numpy() >> (32 - SLOT_BITS)
+    np.maximum.at(ranks, slot, np.ceil(np.log2(count + 1)).astype(np.uint8))
+    return ranks
+
 
+def in_order(hashes: np.ndarray, ranks: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first k shingles of a sorted set by rank and hash, and their ranks."""
+    rank = ranks[(hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+    rare = np.flatnonzero(rank == 0)
+    if len(rare) >= k:
+        return hashes[rare[:k]], np.zeros(k, np.uint8)
+    order = np.argsort(rank, kind="stable")[:k]
+    return hashes[order], rank[order]
 
-def meetings(docs: DataFrame, frequent, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """sig, sid, hot: the leading shingles of each different set, once for each task that sees it."""
-    spread = docs.sparkSession.sparkContext.broadcast(frequent)
+
+def meetings(docs: DataFrame, ranks: np.ndarray, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """sig, sid, crowded: the leading shingles of each different set, once for each task that sees it."""
+    spread = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, count = spread.value
-        seen: set[int] = set()
+        table_, seen = spread.value, set()
         for _, _, sets in _sets(batches, size):
-            sig, sid, hot = [], [], []
+            sig, sid, rank = [], [], []
             for s in sets:
                 if not len(s) or (x := set_id(s)) in seen:
                     continue
                 seen.add(x)
-                k = leading(len(s), threshold)
-                rare = s
-                late = np.zeros(0, np.uint64)
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                    is_hot = often[at] == s
-                    if is_hot.any():
-                        rare = s[~is_hot]
-                        late = s[is_hot][np.lexsort((s[is_hot], count[at[is_hot]]))][: max(0, k - len(rare))]
-                sig += [rare[:k], late]
-                sid.append(np.full(min(k, len(rare)) + len(late), x, np.int64))
-                hot += [np.zeros(min(k, len(rare)), bool), np.ones(len(late), bool)]
+                first, r = in_order(s, table_, leading(len(s), threshold))
+                sig.append(first)
+                sid.append(np.full(len(first), x, np.int64))
+                rank.append(r)
             if sid:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(sid)), pa.array(np.concatenate(hot))], names=["sig", "sid", "hot"])
-            if len(seen) > 1_000_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(sid)), pa.array(np.concatenate(rank) >= CROWDED)], names=["sig", "sid", "crowded"])
+            if len(seen) > SEEN:
                 seen.clear()
 
-    return with_text(docs).mapInArrow(run, "sig long, sid long, hot boolean")
+    return with_text(docs).mapInArrow(trimmed(run), "sig long, sid long, crowded boolean")
 
 
 def _pivot_rank(sid: np.ndarray, sig: np.ndarray) -> np.ndarray:
@@ -195,6 +217,8 @@ def _companions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     again = np.append(shared[1:] == shared[:-1], False)
     again[1:] |= again[:-1]
     sig, sid = shared[again], sid[order[again]]
+    if not len(sig):
+        return
     order = np.lexsort((_pivot_rank(sid, sig), sig))
     sig, sid = sig[order], sid[order]
     new = np.append(True, (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1]))
@@ -206,17 +230,22 @@ def _companions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (sig, sid, pivot)], names=["sig", "sid", "pivot"])
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def companions(met: DataFrame) -> DataFrame:
-    """sig, sid, pivot of all meetings of two different sets or more.
+    """sig, sid, pivot and crowded of all meetings of two different sets or more.
 
-    The few shingles of the broadcast table can hold a large part of all sets each: their pivot comes from a
-    partial aggregate and is broadcast (its bound is the table's), so that their members are never dealt out by
-    shingle. All others are dealt by shingle.
+    A crowded shingle can hold a large part of all sets: the pivot of its meeting comes from a partial aggregate, so
+    that its members are never dealt out by shingle while the pivots fit a broadcast. All others are dealt by shingle.
     """
-    cold = met.where("NOT hot").select("sig", "sid").repartition("sig").mapInArrow(_companions, "sig long, sid long, pivot long")
-    hot = met.where("hot").select("sig", "sid")
-    by_sig = hot.groupBy("sig").agg(F.min(F.struct(F.xxhash64("sid", "sig").alias("r"), "sid"))["sid"].alias("pivot"), F.min("sid").alias("low"), F.max("sid").alias("top"))
-    return cold.unionByName(hot.join(F.broadcast(by_sig.where("low <> top").select("sig", "pivot")), "sig").select("sig", "sid", "pivot"))
+    dealt = met.where("NOT crowded").select("sig", "sid").repartition("sig").mapInArrow(trimmed(_companions), "sig long, sid long, pivot long")
+    crowd = met.where("crowded").select("sig", "sid")
+    by_sig = crowd.groupBy("sig").agg(F.min(F.struct(F.xxhash64("sid", "sig").alias("r"), "sid"))["sid"].alias("pivot"), F.min("sid").alias("low"), F.max("sid").alias("top"))
+    pivots = cut(by_sig.where("low <> top").select("sig", "pivot"))
+    met = crowd.join(F.broadcast(pivots) if fits_broadcast(pivots) else pivots, "sig").select("sig", "sid", "pivot").distinct()
+    return dealt.withColumn("crowded", F.lit(False)).unionByName(met.withColumn("crowded", F.lit(True)))
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -225,8 +254,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataF
     Up to ``BROADCAST_ROWS`` wanted rows are broadcast to the texts; more are joined by shuffle. A task that reads
     a wanted text again emits it once.
     """
-    small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    joined = with_text(docs).join(F.broadcast(wanted) if small else wanted, "doc_id").select("sid", "text", "task")
+    joined = with_text(docs).join(F.broadcast(wanted) if fits_broadcast(wanted) else wanted, "doc_id").select("sid", "text", "task")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -241,7 +269,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataF
             flat = np.concatenate([s for *_, s in own]) if own else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([t for _, t, _ in own], pa.int64()), pa.array([x for x, *_ in own], pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], names=["task", "sid", "hashes"])
 
-    return joined.mapInArrow(run, "task long, sid long, hashes array<long>")
+    return joined.mapInArrow(trimmed(run), "task long, sid long, hashes array<long>")
 
 
 def reaches(shared, n_a, n_b, threshold: int = THRESHOLD):
@@ -314,7 +342,7 @@ def _heads(task: np.ndarray) -> list[tuple[int, int]]:
 def _block_pairs(threshold: int):
     """Of partitions sorted by task: pairs of different components that their points let link."""
 
-    def pairs(side: np.ndarray, comp: np.ndarray, n: np.ndarray, point: np.ndarray, fine: list[np.ndarray], inner: bool) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(side: np.ndarray, comp: np.ndarray, n: np.ndarray, point: np.ndarray, raw: list[bytes], inner: bool) -> tuple[np.ndarray, np.ndarray]:
         left = np.arange(len(n)) if inner else np.flatnonzero(side == 0)
         right = np.arange(len(n)) if inner else np.flatnonzero(side == 1)
         a, b = [], []
@@ -329,8 +357,9 @@ def _block_pairs(threshold: int):
             hits = hits[comp[hits] != comp[i]]
             if inner:
                 hits = hits[hits > i]
-            if len(fine[i]) > GROUPS:
-                hits = hits[[bool(reaches(most_shared(fine[i], fine[k]), n[i], n[k], threshold)) for k in hits.tolist()]] if len(hits) else hits
+            if n[i] >= STEPS[0] and len(hits):
+                own = unpacked(raw[i])
+                hits = hits[[bool(reaches(most_shared(own, unpacked(raw[k])), n[i], n[k], threshold)) for k in hits.tolist()]]
             if len(hits):
                 a.append(np.full(len(hits), i))
                 b.append(hits)
@@ -339,11 +368,11 @@ def _block_pairs(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _by_task(batches):
             task, side, sid, comp, n = (t.column(c).to_numpy() for c in ("task", "side", "sid", "comp", "n"))
-            fine = [unpacked(x) for x in t.column("point").to_pylist()]
-            point = np.stack([coarse(x) for x in fine])
+            raw = t.column("point").to_pylist()
+            point = np.stack([coarse(unpacked(x)) for x in raw])
             a, b = [], []
             for i, j in _heads(task):
-                x, y = pairs(side[i:j], comp[i:j], n[i:j], point[i:j], fine[i:j], bool((side[i:j] == 2).all()))
+                x, y = pairs(side[i:j], comp[i:j], n[i:j], point[i:j], raw[i:j], bool((side[i:j] == 2).all()))
                 a.append(sid[i:j][x])
                 b.append(sid[i:j][y])
             a, b = np.concatenate(a), np.concatenate(b)
@@ -354,9 +383,12 @@ def _block_pairs(threshold: int):
 
 
 def allowed(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) that their points let link; sizes are compared first, as they are cheap to join."""
+    """Pairs (a, b) that their points let link; sizes and, if it is known, how often they met (met) are looked at first."""
     side = lambda c, *names: classes.select(F.col("sid").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in names])
     sized = pairs.join(side("a", "n"), "a").join(side("b", "n"), "b").where(reaches(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b"), threshold))
+    if "met" in pairs.columns:
+        least = lambda n: F.ceil(F.col(n) * threshold / 100)
+        sized = sized.where(F.col("met") >= F.least(F.lit(SHARED), least("n_a"), least("n_b")))
     both = sized.select("a", "b").join(side("a", "n", "point"), "a").join(side("b", "n", "point"), "b").select("a", "b", "n_a", "n_b", "point_a", "point_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,7 +397,7 @@ def allowed(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
             ok = reaches(most, batch.column(2).to_numpy(), batch.column(3).to_numpy(), threshold)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(trimmed(run), "a long, b long")
 
 
 def _spanning(threshold: int):
@@ -416,20 +448,40 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, t
     wanted = cut(need.join(classes.select("sid", "doc_id"), "sid").where("doc_id IS NOT NULL").select("doc_id", "sid", "task"))
     held = whole_sets(docs, wanted, size).select("task", F.lit(0).alias("kind"), F.col("sid").alias("a"), F.lit(0).cast("long").alias("b"), "hashes")
     rows = held.unionByName(tasked.select("task", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("array<long>").alias("hashes")))
-    return rows.repartition("task").sortWithinPartitions("task", "kind", "a", "b").mapInArrow(_spanning(threshold), "a long, b long")
+    return rows.repartition("task").sortWithinPartitions("task", "kind", "a", "b").mapInArrow(trimmed(_spanning(threshold)), "a long, b long")
 
 
-def cross_pairs(members: DataFrame, label: DataFrame, classes: DataFrame, threshold: int, block: int = BLOCK) -> DataFrame:
-    """Pairs of different components within a meeting that their points let link.
+def pivot_pairs(members: DataFrame) -> DataFrame:
+    """Pairs of a meeting's pivot and another member. Those that met but once, in no crowd, are left to ``cross_pairs``, which sees all meetings."""
+    pairs = members.where("sid <> pivot").groupBy(F.least("pivot", "sid").alias("a"), F.greatest("pivot", "sid").alias("b"))
+    return pairs.agg(F.count(F.lit(1)).alias("met"), F.bool_or("crowded").alias("crowded")).where("met > 1 OR crowded").select("a", "b")
 
-    Of a meeting, the classes outside its pivot's component are probes. Probes and the others are cut in blocks; every
-    block of probes meets every block of either, each in a task of its own, so no task holds more than two blocks.
-    """
+
+def open_meetings(members: DataFrame, label: DataFrame) -> DataFrame:
+    """sig, sid, comp, probe, n_probe and n_main of the meetings that hold several components still; probes are outside the first set's."""
     named = members.join(label.withColumnRenamed("vertex", "sid"), "sid", "left").select("sig", "sid", F.coalesce("component", "sid").alias("comp"))
     by_sig = named.groupBy("sig").agg(F.min(F.struct("sid", "comp"))["comp"].alias("own"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig", "own")
-    open_ = cut(named.join(by_sig, "sig").select("sig", "sid", "comp", (F.col("comp") != F.col("own")).alias("probe")))
-    counts = open_.groupBy("sig").agg(F.sum(F.col("probe").cast("long")).alias("n_probe"), F.sum((~F.col("probe")).cast("long")).alias("n_main"))
-    dealt = open_.join(counts, "sig").withColumns({"np": F.ceil(F.col("n_probe") / block), "nm": F.ceil(F.col("n_main") / block)})
+    some = named.join(by_sig, "sig").select("sig", "sid", "comp", (F.col("comp") != F.col("own")).alias("probe"))
+    counts = some.groupBy("sig").agg(F.sum(F.col("probe").cast("long")).alias("n_probe"), F.sum((~F.col("probe")).cast("long")).alias("n_main"))
+    return cut(some.join(counts, "sig"))
+
+
+def pairs_of_small(meetings_: DataFrame) -> DataFrame:
+    """a, b and met: pairs of different components in meetings of up to ``SMALL`` sets, and in how many they met."""
+    held = meetings_.groupBy("sig").agg(F.collect_list(F.struct("sid", "comp")).alias("m"))
+    later = lambda x: F.filter("m", lambda y: (y["sid"] > x["sid"]) & (y["comp"] != x["comp"]))
+    pairs = F.flatten(F.transform("m", lambda x: F.transform(later(x), lambda y: F.struct(x["sid"].alias("a"), y["sid"].alias("b")))))
+    return held.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("met"))
+
+
+def pairs_of_large(meetings_: DataFrame, classes: DataFrame, threshold: int, block: int | None = None) -> DataFrame:
+    """a, b: pairs of different components in larger meetings that their points let link.
+
+    Probes and the others are cut in blocks; every block of probes meets every block of either, each in a task of its
+    own with an R-tree, so no task holds more than two blocks.
+    """
+    block = block or BLOCK
+    dealt = meetings_.withColumns({"np": F.ceil(F.col("n_probe") / block), "nm": F.ceil(F.col("n_main") / block)})
     at = dealt.withColumn("blk", F.pmod(F.xxhash64("sid"), F.when(F.col("probe"), F.col("np")).otherwise(F.col("nm"))))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     main = at.where("NOT probe").select("sid", "comp", "sig", F.lit("m").alias("what"), F.explode(upto(F.col("np"))).alias("i"), F.col("blk").alias("j"), F.lit(1).alias("side"))
@@ -439,18 +491,26 @@ def cross_pairs(members: DataFrame, label: DataFrame, classes: DataFrame, thresh
     rows = main.unionByName(probe_main).unionByName(probe)
     tasks = rows.select("sid", "comp", "side", F.xxhash64("sig", "what", "i", "j").alias("task")).join(classes.select("sid", "n", "point"), "sid")
     dealt_out = tasks.select("task", "side", "sid", "comp", "n", "point").repartition("task").sortWithinPartitions("task")
-    return dealt_out.mapInArrow(_block_pairs(threshold), "a long, b long").distinct()
+    return dealt_out.mapInArrow(trimmed(_block_pairs(threshold)), "a long, b long").distinct()
+
+
+def cross_pairs(members: DataFrame, label: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of different components within a meeting that their points let link.
+
+    A linked pair met in a larger meeting, or in at least ``SHARED`` small ones.
+    """
+    some = open_meetings(members, label)
+    small = F.col("n_probe") + F.col("n_main") <= SMALL
+    return allowed(pairs_of_small(some.where(small)), classes, threshold).unionByName(pairs_of_large(some.where(~small), classes, threshold)).distinct()
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, set_id and component_id of every row."""
     rows = cut(shingle_sets(docs, size))
     own = rows.where("kind = 0").select("doc_id", F.col("id").alias("sid"), F.col("n").alias("n_shingles"))
-    # the table is bounded by MOST_FREQUENT rows of 16 bytes
-    often = np.array(sorted((r["id"] & ((1 << 64) - 1), r["n"]) for r in frequent_shingles(rows).toLocalIterator()), np.uint64).reshape(-1, 2)
-    members = cut(companions(meetings(docs, (often[:, 0].copy(), often[:, 1].astype(np.int64)), size, threshold)))
+    members = cut(companions(meetings(docs, frequency_ranks(rows), size, threshold)))
     classes = cut(rows.where("kind = 0 AND n > 0").groupBy(F.col("id").alias("sid")).agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point")))
-    stars = members.where("sid <> pivot").select(F.least("pivot", "sid").alias("a"), F.greatest("pivot", "sid").alias("b")).distinct()
+    stars = pivot_pairs(members)
     links = cut(verified(allowed(stars, classes, threshold), docs, classes, size, threshold))
     label = cut(components(links))
     more = cut(verified(cross_pairs(members, label, classes, threshold), docs, classes, size, threshold))

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, with_text
+from .common import cut, table, trimmed, with_text
 from .words import chunks, utf8
 
 CAPACITY = 2048
@@ -34,7 +34,7 @@ FAN_IN = 20_000
 #: A sequence with no more than this share free is emitted at once.
 SLACK = 0.01
 #: Entries of a worker's cache; a full one is emptied, which changes speed only.
-CACHE = 800_000
+CACHE = 300_000
 CHUNK_BYTES = 8 << 20
 
 _TAIL = ".,*%$#&!|;:?"
@@ -131,7 +131,7 @@ def tokenise(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None =
                         out.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return with_text(docs).mapInArrow(run, PIECES)
+    return with_text(docs).mapInArrow(trimmed(run), PIECES)
 
 
 def best_fit(lengths: list[int], capacity: int = CAPACITY) -> list[int]:
@@ -201,7 +201,7 @@ def _local_round(capacity: int, slack: float, first: bool):
 def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: float = SLACK, fan_in: int = FAN_IN) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32)."""
     run, full_at = _local_round(capacity, slack, first=True)
-    bins = cut(pieces.select("doc_id", "piece", "start", "length", "ids_crc32").mapInArrow(run, _BIN))
+    bins = cut(pieces.select("doc_id", "piece", "start", "length", "ids_crc32").mapInArrow(trimmed(run), _BIN))
     again, _ = _local_round(capacity, slack, first=False)
     done = [bins.filter(F.col("load") >= full_at)]
     rest = bins.filter(F.col("load") < full_at)
@@ -209,7 +209,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: float = SLACK, fan_
     while left > 1:
         # round-robin: items are dealt evenly, whatever the documents' keys are
         parts = -(-left // fan_in)
-        merged = cut(rest.repartition(parts).mapInArrow(again, _BIN))
+        merged = cut(rest.repartition(parts).mapInArrow(trimmed(again), _BIN))
         done.append(merged.filter(F.col("load") >= full_at))
         rest = merged.filter(F.col("load") < full_at)
         now = rest.count()

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, free_name, partitions, table, with_text
+from .common import bounded, cut, free_name, partitions, table, trimmed, with_text
 from .words import NONSPACE, chunks, hashes, spans, utf8
 
 FEATURES = 256
@@ -39,7 +39,7 @@ CUTOFF = 0.7
 #: Partial matrices that one task sums.
 TREE = 64
 
-_CLASS = np.zeros(256, np.int64)
+_CLASS = np.zeros(256, np.int8)
 for _k, _range in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n\r", b".,;:'\"()-", b"!?", bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:'\"()-!?")), 1):
     for _c in _range:
         _CLASS[_c] = _k
@@ -141,7 +141,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(stats.ravel()))], names=["doc_id", "stats"])
 
     mine = with_text(docs).where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 2))
-    return mine.mapInArrow(run, "doc_id long, stats array<double>").join(marks, "doc_id").select("fold", "y", "stats")
+    return mine.mapInArrow(trimmed(run), "doc_id long, stats array<double>").join(marks, "doc_id").select("fold", "y", "stats")
 
 
 def _summed(rows: DataFrame, one, spark: SparkSession) -> np.ndarray | None:
@@ -165,12 +165,12 @@ def _summed(rows: DataFrame, one, spark: SparkSession) -> np.ndarray | None:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["x"])
 
-    parts = rows.mapInArrow(part, "x binary")
+    parts = rows.mapInArrow(trimmed(part), "x binary")
     n = partitions(spark)
     while n > TREE:
         n = -(-n // TREE)
-        parts = parts.repartition(n).mapInArrow(merge, "x binary")
-    found = [np.frombuffer(r["x"], "<f8") for r in parts.coalesce(1).mapInArrow(merge, "x binary").collect()]
+        parts = parts.repartition(n).mapInArrow(trimmed(merge), "x binary")
+    found = [np.frombuffer(r["x"], "<f8") for r in parts.coalesce(1).mapInArrow(trimmed(merge), "x binary").collect()]
     return found[0] if found else None
 
 
@@ -256,7 +256,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spread.value.score(statistics(batch.column(1))), pa.float64())], names=["doc_id", "score"])
 
-    found = with_text(docs).mapInArrow(run, "doc_id long, score double")
+    found = with_text(docs).mapInArrow(trimmed(run), "doc_id long, score double")
     return found.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"))
 
 
@@ -273,7 +273,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
             good = spread.value.score(statistics(batch.column(batch.num_columns - 1))) >= CUTOFF
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(good))
 
-    return docs.withColumn(text, F.col("text").cast("string")).mapInArrow(run, T.StructType(docs.schema.fields))
+    bounded(docs.sparkSession)
+    return docs.withColumn(text, F.col("text").cast("string")).mapInArrow(trimmed(run), T.StructType(docs.schema.fields))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

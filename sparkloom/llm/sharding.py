@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_path, partitions, table
+from .common import bounded, fresh_path, partitions, table, trimmed
 
 SHARDS = 8
 BUCKET_BYTES = 16 << 20
@@ -43,7 +43,7 @@ def fisher_yates(n: int, seed: tuple[int, ...]) -> np.ndarray:
 
 def write_buckets(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, str]:
     """Writes all rows shuffled bucket by bucket; returns them as (row, bucket, place) and the folder."""
-    spark = docs.sparkSession
+    spark = bounded(docs.sparkSession)
     path = fresh_path(spark, "shards")
     total = docs.agg(F.sum(F.octet_length("text").cast("long") + 1)).first()[0] or 0
     buckets = max(-(-int(total) // bucket_bytes), SPREAD * partitions(spark), 1)
@@ -75,7 +75,7 @@ def write_buckets(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_
 
     # sorted by origin first: the order in which rows arrive must not matter
     dealt = scattered.repartition("bucket").sortWithinPartitions("bucket", "origin")
-    dealt.mapInArrow(run, schema).write.parquet(path)
+    dealt.mapInArrow(trimmed(run), schema).write.parquet(path)
     return spark.read.schema(schema).parquet(path), path
 
 

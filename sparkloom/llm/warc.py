@@ -27,7 +27,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path, table
+from .common import bounded, cut, fresh_path, table, trimmed
 
 LEAST_BYTES = 0
 LEVEL = 4
@@ -64,6 +64,7 @@ def base32(hexdigest: str) -> str:
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Writes a record for each page; returns path, bytes and records of each archive."""
+    bounded(pages.sparkSession)
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     marked = plain.withColumn("digest", F.sha1("payload"))
@@ -95,7 +96,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
         else:
             fs.delete_file(draft)
 
-    return cut(joined.mapInArrow(run, "path string, bytes long, records long"))
+    return cut(joined.mapInArrow(trimmed(run), "path string, bytes long, records long"))
 
 
 class RangeReader:
@@ -209,7 +210,7 @@ def read_archives(archives: DataFrame, range_bytes: int = RANGE_BYTES, payloads:
         if rows:
             yield flush()
 
-    return ranges.repartition(F.col("path"), F.col("begin")).mapInArrow(run, RECORDS)
+    return ranges.repartition(F.col("path"), F.col("begin")).mapInArrow(trimmed(run), RECORDS)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

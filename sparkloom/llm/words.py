@@ -12,7 +12,7 @@ import pyarrow as pa
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 # Fixed values of the contracts: which bytes are part of a word once A-Z are lower-case.
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -35,17 +35,21 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _CODE = mix(np.arange(1, 257, dtype=np.uint64) * _P)[_LOWER]
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers: list[np.ndarray] = []
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n + 1:
-        size = max(n + 1, 1 << 16)
-        for k, base in enumerate((_P, _P_INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0][: n + 1], _powers[1][: n + 1]
+    """P and its inverse to the powers 0 to n; kept for texts of up to two chunks."""
+    if _powers and n < len(_powers[0]):
+        return _powers[0][: n + 1], _powers[1][: n + 1]
+    tables = []
+    for base in (_P, _P_INVERSE):
+        steps = np.full(max(n + 1, 1 << 16), base, np.uint64)
+        steps[0] = 1
+        tables.append(np.multiply.accumulate(steps))
+    if n <= 2 * CHUNK_BYTES:
+        _powers[:] = tables
+    return tables[0][: n + 1], tables[1][: n + 1]
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -362,7 +362,22 @@ def test_exact_threshold_links():
     assert jaccard.reaches(3, 3, 4) and not jaccard.reaches(2, 3, 3)
     for n in range(1, 400):
         least = next(s for s in range(n + 1) if 100 * s >= 75 * n)
-        assert jaccard.leading(n) == n - least + 1
+        assert jaccard.leading(n) == n - least + min(jaccard.SHARED, least)
+
+
+def test_linked_sets_share_leading_shingles():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        n = int(rng.integers(2, 60))
+        a = np.unique(rng.integers(0, 2**62, n).astype(np.uint64))
+        drop = int(rng.integers(0, n // 4 + 1))
+        b = np.unique(np.concatenate([a[drop:], rng.integers(0, 2**62, int(rng.integers(0, 4))).astype(np.uint64)]))
+        shared = len(np.intersect1d(a, b))
+        if 100 * shared >= 75 * (len(a) + len(b) - shared):
+            ranks = rng.integers(0, 3, 1 << jaccard.SLOT_BITS).astype(np.uint8)
+            x, y = (jaccard.in_order(s, ranks, jaccard.leading(len(s)))[0] for s in (a, b))
+            least = [-(-75 * len(s) // 100) for s in (a, b)]
+            assert len(np.intersect1d(x, y)) >= min(jaccard.SHARED, *least)
 
 
 def test_tree_finds_what_a_scan_finds():
