@@ -17,6 +17,7 @@ QUERIES = {
     "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_pii": oracles.PII,
     "op4_benchmark_decontamination": oracles.DECONTAMINATION,
     "op7_warc": oracles.WARC,
     "op8_chat_formatting": chat.ORACLE_SQL,

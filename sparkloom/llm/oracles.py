@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import pii
+
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 DECONTAMINATION = rf"""
@@ -69,3 +71,52 @@ WITH RECURSIVE d AS (
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(least_other, d.doc_id)) AS component_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS least_other FROM reach GROUP BY doc_id) USING (doc_id)
 """
+
+# the contract's plain patterns; the others are the operator's own
+_PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_VALID = {
+    "email": "true",
+    "ip": "list_bool_and(list_transform(string_split(m, '.'), lambda p: length(ltrim(p, '0')) <= 3 AND coalesce(try_cast(ltrim(p, '0') AS INTEGER), 0) <= 255))",
+    "card": f"length({_DIGITS}) BETWEEN 14 AND 19 AND CAST(list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST({_DIGITS}[length({_DIGITS}) - i + 1] AS INTEGER) WHEN CAST({_DIGITS}[length({_DIGITS}) - i + 1] AS INTEGER) > 4 THEN 2 * CAST({_DIGITS}[length({_DIGITS}) - i + 1] AS INTEGER) - 9 ELSE 2 * CAST({_DIGITS}[length({_DIGITS}) - i + 1] AS INTEGER) END)) AS BIGINT) % 10 = 0",
+    "phone": f"length({_DIGITS}) BETWEEN 10 AND 15",
+    "iban": "length(replace(m, ' ', '')) BETWEEN 15 AND 34 AND list_reduce(list_concat([CAST(0 AS BIGINT)], list_transform(string_split(replace(m, ' ', '')[5:] || replace(m, ' ', '')[1:4], ''), lambda c: CAST(CASE WHEN ascii(c) >= 65 THEN ascii(c) - 55 ELSE ascii(c) - 48 END AS BIGINT))), lambda a, x: (a * CASE WHEN x >= 10 THEN 100 ELSE 10 END + x) % 97) = 1",
+    "ssn": "NOT regexp_matches(m, '^(000|666|9)|-00-|-0000$')",
+}
+
+
+def _pii() -> str:
+    """One block for each kind: matches, the texts around them, places, then what confirms them."""
+    parts = []
+    for rank, kind in enumerate(pii.KINDS):
+        pattern = _PLAIN.get(kind.name, kind.pattern).replace("(?:", "(")
+        near = f"lower(right(gap, {pii.CONTEXT}))"
+        words = lambda w: f"regexp_matches({near}, '(^|[^a-z])({'|'.join(w)})')"  # noqa: B023,E731
+        score = f"CAST({kind.score} AS DOUBLE)"
+        score += f" + CASE WHEN {words(kind.raising)} THEN CAST({pii.RAISE} AS DOUBLE) ELSE 0 END" if kind.raising else ""
+        score += f" - CASE WHEN {words(kind.lowering)} THEN CAST({pii.LOWER} AS DOUBLE) ELSE 0 END" if kind.lowering else ""
+        border = "true"
+        if kind.border:
+            border = f"CASE WHEN gap = '' THEN i = 1 ELSE NOT regexp_matches(right(gap, 1), '{kind.border}') END AND CASE WHEN rest = '' THEN i = n ELSE NOT regexp_matches(left(rest, 1), '{kind.border}') END"
+        length = lambda x: f"CAST(coalesce(list_sum(list_transform({x}, lambda y: length(y))), 0) AS BIGINT)"
+        parts.append(f"""
+  SELECT r, {rank} AS rank, '{kind.name}' AS kind, a AS a, a + length(m) AS z, round(greatest(0.0, least(1.0, {score})), 2) AS score
+  FROM (SELECT r, i, len(h) AS n, h[i] AS m, g[i] AS gap, g[i + 1] AS rest, {length('g[1:i]')} + {length('h[1:i - 1]')} AS a
+        FROM (SELECT r, h, g, unnest(range(1, len(h) + 1)) AS i FROM (SELECT r, regexp_extract_all(t, '{pattern}') AS h, string_split_regex(t, '{pattern}') AS g FROM d)))
+  WHERE {_VALID[kind.name]} AND round(greatest(0.0, least(1.0, {score})), 2) >= {kind.least} AND {border}""")
+    counts = lambda kinds: ", ".join(f"CAST(count(*) FILTER (kind = '{k.name}') AS BIGINT) AS n_{k.name}" for k in kinds)
+    text = "kind || ':' || a || ':' || z"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), s AS ({" UNION ALL ".join(parts)})
+SELECT doc_id, {counts(pii.BASE)}, sha256(coalesce(string_agg({text}, ',' ORDER BY a, rank) FILTER (rank < {len(pii.BASE)}), '')) AS base_sha256,
+       coalesce(string_agg({text}, ',' ORDER BY a, rank), '') AS spans, {counts(pii.MORE)}, coalesce(string_agg(CAST(score AS VARCHAR), ',' ORDER BY a, rank), '') AS scores
+FROM d LEFT JOIN s USING (r) GROUP BY r, doc_id
+"""
+
+
+PII = _pii()

@@ -37,6 +37,8 @@ class Kind:
     lowering: tuple[str, ...] = ()
     base: bool = True
     least: float = 0.0
+    #: A match with one of these characters right before or after it is dropped.
+    border: str | None = None
 
 
 #: email  [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
@@ -50,8 +52,8 @@ BASE = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.7, ("phone", "call", "tel", "mobile"), ("score",)),
 )
 MORE = (
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", None, 0.8, ("iban", "account", "bank"), (), False, 0.5),
-    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.3, ("ssn", "social security", "taxpayer"), ("isbn", "part"), False, 0.5),
+    Kind("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", None, 0.8, ("iban", "account", "bank"), (), False, 0.5, "[A-Za-z0-9]"),
+    Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "-", 0.3, ("ssn", "social security", "taxpayer"), ("isbn", "part"), False, 0.5, "[0-9-]"),
 )
 KINDS = BASE + MORE
 #: Code points before a span in which context words count.
@@ -120,22 +122,35 @@ def _split(df: DataFrame, kind: Kind, text: str) -> DataFrame:
     return df.withColumn(f"{kind.name}_gaps", F.when(F.size(f"{kind.name}_hits") > 0, F.split(text, kind.pattern, -1)))
 
 
+def _matches(kind: Kind) -> Column:
+    """gap (the text before a match, from the last one on), hit, rest (the text after it, up to the next) and place of each match."""
+    gaps, hits = F.col(f"{kind.name}_gaps"), F.col(f"{kind.name}_hits")
+    n = F.size(hits)
+    return F.arrays_zip(F.slice(gaps, 1, n).alias("gap"), hits.alias("hit"), F.slice(gaps, 2, n).alias("rest"), F.sequence(F.lit(1), n).alias("place"))
+
+
+def _confirmed(kind: Kind, x: Column) -> Column:
+    ok = valid(kind.name, x["hit"]) & (_score(kind, x["gap"]) >= kind.least)
+    if kind.border:
+        # an empty text beside a match is the text's end or another match
+        before = F.when(x["gap"] == "", x["place"] == 1).otherwise(~F.right(x["gap"], F.lit(1)).rlike(kind.border))
+        after = F.when(x["rest"] == "", x["place"] == F.size(f"{kind.name}_hits")).otherwise(~F.left(x["rest"], F.lit(1)).rlike(kind.border))
+        ok = before & after & ok
+    return ok
+
+
 def _placed(kind: Kind, rank: int) -> Column:
     """start, rank, kind, end and score of the confirmed matches, in order."""
-    pair = F.arrays_zip(F.slice(F.col(f"{kind.name}_gaps"), 1, F.size(f"{kind.name}_hits")).alias("gap"), F.col(f"{kind.name}_hits").alias("hit"))
     span = "struct<start:int,rank:int,kind:string,end:int,score:double>"
     start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("found"))
 
     def step(acc: Column, x: Column) -> Column:
-        gap, hit = x["gap"], x["hit"]
-        begin = acc["at"] + F.length(gap)
-        end = begin + F.length(hit)
-        score = _score(kind, gap)
-        own = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), end.alias("end"), score.alias("score")).cast(span)
-        keep = valid(kind.name, hit) & (score >= kind.least)
-        return F.struct(end.alias("at"), F.when(keep, F.array_append(acc["found"], own)).otherwise(acc["found"]).alias("found"))
-
-    found = F.aggregate(pair, start, step, lambda acc: acc["found"])
+        begin = acc["at"] + F.length(x["gap"])
+        end = begin + F.length(x["hit"])
+        own = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), end.alias("end"), _score(kind, x["gap"]).alias("score")).cast(span)
+        return F.struct(end.alias("at"), F.when(_confirmed(kind, x), F.array_append(acc["found"], own)).otherwise(acc["found"]).alias("found"))
+
+    found = F.aggregate(_matches(kind), start, step, lambda acc: acc["found"])
     return F.when(F.size(f"{kind.name}_hits") > 0, found).otherwise(F.array().cast(f"array<{span}>"))
 
 
@@ -148,14 +163,9 @@ def find(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     return df.select("doc_id", F.array_sort(F.concat(*[kind.name for kind in kinds])).alias("spans"))
 
 
-def _marker(kind: Kind):
-    """The text before a match, and the match or what stands for it."""
-
-    def mark(gap: Column, hit: Column) -> Column:
-        confirmed = valid(kind.name, hit) & (_score(kind, gap) >= kind.least)
-        return F.concat(gap, F.when(confirmed, F.lit(f"[{kind.name.upper()}]")).otherwise(hit))
-
-    return mark
+def _marked(kind: Kind) -> Column:
+    """The text before each match, and the match or what stands for it."""
+    return F.transform(_matches(kind), lambda x: F.concat(x["gap"], F.when(_confirmed(kind, x), F.lit(f"[{kind.name.upper()}]")).otherwise(x["hit"])))
 
 
 def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
@@ -173,8 +183,7 @@ def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     for kind in sorted(kinds, key=lambda k: order.get(k.name, 9)):
         keep = _split(keep, kind, work)
         gaps, hits = F.col(f"{kind.name}_gaps"), F.col(f"{kind.name}_hits")
-        marked = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, _marker(kind))
-        keep = keep.select("row", F.when(F.size(hits) > 0, F.concat(F.array_join(marked, ""), F.element_at(gaps, -1))).otherwise(F.col(work)).alias(work))
+        keep = keep.select("row", F.when(F.size(hits) > 0, F.concat(F.array_join(_marked(kind), ""), F.element_at(gaps, -1))).otherwise(F.col(work)).alias(work))
     out = [F.col(work).alias(c) if c == "text" else F.length(work).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" and "text" in columns else F.col("row").getField(c).alias(c) for c in columns]
     return keep.select(*out)
 
@@ -218,6 +227,8 @@ def brute_force(text: str | None) -> tuple[int, int, int, int, str, str]:
         for m in re.finditer(kind.pattern, text):
             near = text[last : m.start()][-CONTEXT:].lower()
             last = m.end()
+            if re.match(kind.border, text[m.start() - 1 : m.start()] or "*") or re.match(kind.border, text[m.end() : m.end() + 1] or "*"):
+                continue
             hit = lambda w, near=near: bool(w) and re.search(r"(?<![a-z])(?:" + "|".join(w) + ")", near) is not None
             score = round(max(0, min(1, kind.score + RAISE * hit(kind.raising) - LOWER * hit(kind.lowering))), 2)
             if kind.name == "iban":
