@@ -47,7 +47,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", one_task: int = ONE
     """
     e = edges.where(f"{a} IS NOT NULL AND {b} IS NOT NULL AND {a} <> {b}").select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
     if e.limit(one_task + 1).count() <= one_task:
-        return e.coalesce(1).mapInArrow(_union_find, "vertex long, component long")
+        return e.repartition(1).mapInArrow(_union_find, "vertex long, component long")
     e = cut(e.distinct())
     while True:
         # large star: larger neighbours go to the smallest

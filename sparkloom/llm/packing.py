@@ -225,7 +225,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: float = SLACK, fan_
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
-    return pack(tokenise(docs, capacity, tokenizer), capacity)
+    # cut here, so that no task keeps two Python workers, one of them with the tokenizer, at once
+    return pack(cut(tokenise(docs, capacity, tokenizer)), capacity)
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

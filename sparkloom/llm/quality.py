@@ -170,7 +170,7 @@ def _summed(rows: DataFrame, one, spark: SparkSession) -> np.ndarray | None:
     while n > TREE:
         n = -(-n // TREE)
         parts = parts.repartition(n).mapInArrow(trimmed(merge), "x binary")
-    found = [np.frombuffer(r["x"], "<f8") for r in parts.coalesce(1).mapInArrow(trimmed(merge), "x binary").collect()]
+    found = [np.frombuffer(r["x"], "<f8") for r in parts.repartition(1).mapInArrow(trimmed(merge), "x binary").collect()]
     return found[0] if found else None
 
 
