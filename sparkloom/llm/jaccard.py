@@ -157,13 +157,22 @@ def _rows(kind, doc, value, n, point) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), doc, pa.array(value, pa.int64()), pa.array(n, pa.int64()), point], names=["kind", "doc_id", "id", "n", "point"])
 
 
-def frequency_ranks(rows: DataFrame, most: int = MOST_FREQUENT) -> np.ndarray:
-    """A table of ``2**SLOT_BITS`` ranks by a shingle's leading bits: 0, or the bits of the count of a frequent shingle there."""
-    top = rows.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(most).toArrow()
+def frequency_ranks(rows: DataFrame, most: int | None = None) -> np.ndarray:
+    """A table of ``2**SLOT_BITS`` ranks by a shingle's leading bits: 0, or the bits of the count of a frequent shingle there.
+
+    Whole ranks are gathered from the top down, as far as ``most`` shingles go.
+    """
+    counts = rows.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n"))
+    ranked = cut(counts.select("id", F.ceil(F.log2(F.col("n") + 1)).cast("int").alias("rank")))
+    least, total = 64, 0
+    for rank, n in sorted((tuple(r) for r in ranked.groupBy("rank").count().collect()), reverse=True):
+        total += n
+        if total > (most or MOST_FREQUENT):
+            break
+        least = rank
+    top = ranked.where(F.col("rank") >= least).toArrow()
     ranks = np.zeros(1 << SLOT_BITS, np.uint8)
-    count = top.column("n").to_numpy()
-    slot = top.column("id").to_numpy() >> (32 - SLOT_BITS)
-    np.maximum.at(ranks, slot, np.ceil(np.log2(count + 1)).astype(np.uint8))
+    np.maximum.at(ranks, top.column("id").to_numpy() >> (32 - SLOT_BITS), top.column("rank").to_numpy().astype(np.uint8))
     return ranks
 
 
@@ -340,9 +349,9 @@ def _heads(task: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _block_pairs(threshold: int):
-    """Of partitions sorted by task: pairs of different components that their points let link."""
+    """Of partitions sorted by task: pairs of different components that their points let link, each in the first meeting of both alone."""
 
-    def pairs(side: np.ndarray, comp: np.ndarray, n: np.ndarray, point: np.ndarray, raw: list[bytes], inner: bool) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(sig: int, sigs: list[set[int]], side: np.ndarray, comp: np.ndarray, n: np.ndarray, point: np.ndarray, raw: list[bytes], inner: bool) -> tuple[np.ndarray, np.ndarray]:
         left = np.arange(len(n)) if inner else np.flatnonzero(side == 0)
         right = np.arange(len(n)) if inner else np.flatnonzero(side == 1)
         a, b = [], []
@@ -357,6 +366,8 @@ def _block_pairs(threshold: int):
             hits = hits[comp[hits] != comp[i]]
             if inner:
                 hits = hits[hits > i]
+            if len(hits):
+                hits = hits[[min(sigs[i] & sigs[k]) == sig for k in hits.tolist()]]
             if n[i] >= STEPS[0] and len(hits):
                 own = unpacked(raw[i])
                 hits = hits[[bool(reaches(most_shared(own, unpacked(raw[k])), n[i], n[k], threshold)) for k in hits.tolist()]]
@@ -368,11 +379,11 @@ def _block_pairs(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _by_task(batches):
             task, side, sid, comp, n = (t.column(c).to_numpy() for c in ("task", "side", "sid", "comp", "n"))
-            raw = t.column("point").to_pylist()
+            raw, sig, sigs = t.column("point").to_pylist(), t.column("sig").to_pylist(), list(map(set, t.column("sigs").to_pylist()))
             point = np.stack([coarse(unpacked(x)) for x in raw])
             a, b = [], []
             for i, j in _heads(task):
-                x, y = pairs(side[i:j], comp[i:j], n[i:j], point[i:j], raw[i:j], bool((side[i:j] == 2).all()))
+                x, y = pairs(sig[i], sigs[i:j], side[i:j], comp[i:j], n[i:j], point[i:j], raw[i:j], bool((side[i:j] == 2).all()))
                 a.append(sid[i:j][x])
                 b.append(sid[i:j][y])
             a, b = np.concatenate(a), np.concatenate(b)
@@ -478,7 +489,7 @@ def pairs_of_large(meetings_: DataFrame, classes: DataFrame, threshold: int, blo
     """a, b: pairs of different components in larger meetings that their points let link.
 
     Probes and the others are cut in blocks; every block of probes meets every block of either, each in a task of its
-    own with an R-tree, so no task holds more than two blocks.
+    own with an R-tree, so no task holds more than two blocks. A pair that met more than once comes from one meeting alone.
     """
     block = block or BLOCK
     dealt = meetings_.withColumns({"np": F.ceil(F.col("n_probe") / block), "nm": F.ceil(F.col("n_main") / block)})
@@ -489,8 +500,10 @@ def pairs_of_large(meetings_: DataFrame, classes: DataFrame, threshold: int, blo
     probe = at.where("probe AND n_probe > 1").select("sid", "comp", "sig", F.col("blk"), F.explode(upto(F.col("np"))).alias("k"))
     probe = probe.select("sid", "comp", "sig", F.lit("p").alias("what"), F.least("blk", "k").alias("i"), F.greatest("blk", "k").alias("j"), F.when(F.col("blk") == F.col("k"), 2).when(F.col("blk") < F.col("k"), 0).otherwise(1).alias("side"))
     rows = main.unionByName(probe_main).unionByName(probe)
-    tasks = rows.select("sid", "comp", "side", F.xxhash64("sig", "what", "i", "j").alias("task")).join(classes.select("sid", "n", "point"), "sid")
-    dealt_out = tasks.select("task", "side", "sid", "comp", "n", "point").repartition("task").sortWithinPartitions("task")
+    # a set's own larger meetings: at most as many as it has leading shingles
+    own = meetings_.groupBy("sid").agg(F.collect_set("sig").alias("sigs"))
+    tasks = rows.select("sid", "comp", "side", "sig", F.xxhash64("sig", "what", "i", "j").alias("task")).join(classes.select("sid", "n", "point").join(own, "sid"), "sid")
+    dealt_out = tasks.select("task", "side", "sid", "comp", "n", "point", "sig", "sigs").repartition("task").sortWithinPartitions("task")
     return dealt_out.mapInArrow(trimmed(_block_pairs(threshold)), "a long, b long").distinct()
 
 
