@@ -42,6 +42,9 @@ FRAMES = frozenset("html body main article".split())
 FRAME_WORDS = frozenset("comment comments reply replies ad ads advert advertisement sponsored promo".split())
 #: A page keeps its own best container if the host's has less than this share of its score.
 LEAST_SHARE = 0.3
+#: Hosts that are broadcast with their paths; more are joined by shuffle.
+BROADCAST_ROWS = 100_000
+SALTS = 32
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -236,12 +239,20 @@ def host_paths(pages: DataFrame) -> DataFrame:
     return votes(pages).groupBy("host").agg(F.min(F.struct((-F.col("n")).alias("n"), "path"))["path"].alias("path"))
 
 
+def _with_paths(pages: DataFrame, paths: DataFrame) -> DataFrame:
+    """Pages with their host's path: up to ``BROADCAST_ROWS`` hosts are broadcast, more are joined in ``SALTS`` parts of each host, as one may hold a third of all pages."""
+    if paths.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return pages.join(F.broadcast(paths), "host", "left")
+    dealt = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    return dealt.join(paths.select("host", "path", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), ["host", "salt"], "left")
+
+
 def extract_main(pages: DataFrame) -> DataFrame:
     """page_id, url and text of every page."""
     bounded(pages.sparkSession)
     paths = cut(host_paths(pages))
     plain = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), _host(F.col("url")).alias("host"))
-    joined = plain.join(paths, "host", "left").select("page_id", "url", "html", "path")
+    joined = _with_paths(plain, paths).select("page_id", "url", "html", "path")
     kind = dict(pages.dtypes)["page_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

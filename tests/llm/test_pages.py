@@ -84,7 +84,7 @@ def test_main_text(page, text):
     assert html.extract(page) == text
 
 
-def test_host_votes(spark):
+def test_host_votes(spark, monkeypatch):
     article = lambda t: f"<div class='box7'><p>{'menu like words ' * 30}</p></div><article class='c1 story9'><p>{t}</p></article>"
     usual = lambda t: f"<div class='box8'><p>x</p></div><article class='story4 c2'><p>{t * 20}</p></article>"
     rows = [(i, "http://h.com/a", usual(f"word{i} ")) for i in range(5)] + [(9, "https://u@H.com:80/b", article("the real story " * 10)), (10, None, "<p>no host</p>"), (11, "x", None), (11, "x", None)]
@@ -93,6 +93,9 @@ def test_host_votes(spark):
     got = {r["page_id"]: r["text"] for r in html.extract_main(pages).collect()}
     assert got[9] == " ".join("the real story".split() * 10) and got[10] == "no host" and got[11] == ""
     assert html.extract_main(pages).count() == len(rows) and html.extract_main(pages.limit(0)).count() == 0
+    whole = sorted(str(tuple(r)) for r in html.extract_main(pages).collect())
+    monkeypatch.setattr(html, "BROADCAST_ROWS", 0)
+    assert sorted(str(tuple(r)) for r in html.extract_main(pages).collect()) == whole
 
 
 def test_pages_of_the_tables(spark):
