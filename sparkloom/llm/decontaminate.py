@@ -9,8 +9,8 @@ other shard, so there is no shuffle, and copies or hot sources cost nothing extr
 Words of the training text outside the benchmark's vocabulary end every match, and a suffix whose first
 two words start no benchmark suffix cannot match; such suffixes are left out of the array.
 
-The benchmark is broadcast in blocks of at most ``block_words`` words: a larger benchmark is taken in
-several passes whose hits are merged by document, so what a task holds is bounded.
+The benchmark is broadcast in blocks of at most ``block_words`` words. A larger benchmark is taken in one pass for each
+block; documents hit in several are merged by row, so what a task or the driver holds is bounded.
 
 Defined cases: null or empty texts have no words and hit nothing; items without words are ignored; an
 item with fewer words than a window is one window; a document that repeats is judged each time alike;
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, free_name, table, trimmed, with_text
+from .common import bounded, cut, free_name, table, trimmed, with_text
 from .words import ALNUM, chunks, hashes, lowered, spans, utf8
 
 WINDOW = 10
@@ -189,79 +189,88 @@ def _longest(index: TestIndex, out: list[dict], owner: np.ndarray, at: np.ndarra
             b = max(b, y)
 
 
-def benchmark_blocks(benchmark: DataFrame, window: int, block_words: int) -> list[TestIndex]:
-    """The benchmark as indexes of bounded size, read to the driver one bounded block at a time."""
+def benchmark_blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[TestIndex]:
+    """Indexes of bounded size over the benchmark, which is read row by row; one empty index if it has no rows."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).orderBy("item_id", "text")
-    blocks: list[TestIndex] = []
-    held, size = [], 0
+    held, size, made = [], 0, 0
     for row in rows.toLocalIterator():
         text = row["text"].encode()
         if held and size + len(text) > 6 * block_words:
-            blocks.append(TestIndex(held, window))
-            held, size = [], 0
+            yield TestIndex(held, window)
+            held, size, made = [], 0, made + 1
         held.append((row["item_id"] if row["item_id"] is not None else "", text))
         size += len(text)
-    if held:
-        blocks.append(TestIndex(held, window))
-    return blocks
+    if held or not made:
+        yield TestIndex(held, window)
 
 
 MATCH = T.ArrayType(T.StructType([T.StructField("item_id", T.StringType()), T.StructField("word_start", T.LongType()), T.StructField("item_word_start", T.LongType()), T.StructField("length", T.LongType())]))
-REPORT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("matches", MATCH)])
+HITS = T.StructType([T.StructField("origin", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("matches", MATCH)])
 
 
-def _scan(texts: pa.Array, blocks: list[TestIndex]) -> Iterator[dict]:
-    """Results of every text over all blocks of the benchmark."""
+def _scan(texts: pa.Array, index: TestIndex) -> Iterator[dict]:
+    """Results of every text."""
     data, offsets = utf8(texts)
     for i, j in chunks(offsets):
-        part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        results = [scan_shard(index, part, off) for index in blocks]
-        if not results:
-            _, _, first = spans(part, off, ALNUM)
-            yield from ({"n_words": int(n), "n_hit": 0, "items": set(), "matches": []} for n in np.diff(first))
-            continue
-        for rows in zip(*results, strict=True):
-            x = rows[0]
-            for y in rows[1:]:
-                x["items"] |= y["items"]
-                x["matches"] += y["matches"]
-                if "hit_words" in y:
-                    x["hit_words"] = np.union1d(x["hit_words"], y["hit_words"]) if "hit_words" in x else y["hit_words"]
-                    x["n_hit"] = len(x["hit_words"])
-            yield x
+        yield from scan_shard(index, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
-def match_report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted) and matches (item, place, place in the item, words) of every row."""
-    blocks = docs.sparkSession.sparkContext.broadcast(benchmark_blocks(benchmark, window, block_words))
+def _hits(docs: DataFrame, index: TestIndex, every: bool) -> DataFrame:
+    """Hit words, items and longest matches of rows (origin, doc_id, text): of all, or of those that are hit."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = to_arrow_schema(REPORT)
+    spread, schema = docs.sparkSession.sparkContext.broadcast(index), to_arrow_schema(HITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(_scan(batch.column(1), blocks.value))
-            columns = [batch.column(0), pa.array([x["n_words"] for x in found], pa.int64()), pa.array([x["n_hit"] for x in found], pa.int64()), pa.array([sorted(x["items"]) for x in found], schema.field("items").type)]
-            columns.append(pa.array([[{"item_id": i, "word_start": p, "item_word_start": q, "length": n} for i, p, q, n in sorted(x["matches"])] for x in found], schema.field("matches").type))
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            rows = []
+            for origin, doc, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _scan(batch.column(2), spread.value), strict=True):
+                if every or x["n_hit"]:
+                    matches = [{"item_id": i, "word_start": p, "item_word_start": q, "length": n} for i, p, q, n in sorted(x["matches"])]
+                    rows.append({"origin": origin, "doc_id": doc, "n_words": x["n_words"], "hits": list(map(int, x.get("hit_words", ()))), "items": sorted(x["items"]), "matches": matches})
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return docs.select("origin", "doc_id", "text").mapInArrow(trimmed(run), HITS)
 
-    return with_text(docs).mapInArrow(trimmed(run), REPORT)
+
+def match_report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, n_words, n_hit, items (sorted) and matches (item, place, place in the item, words) of every row."""
+    blocks = benchmark_blocks(benchmark, window, block_words)
+    first, second = next(blocks), next(blocks, None)
+    rows = with_text(docs).withColumn("origin", F.monotonically_increasing_id())
+    if second is None:
+        merged = _hits(rows, first, True)
+    else:
+        rows = cut(rows)  # the passes must agree on the rows' numbers
+        found = cut(_hits(rows, first, True))
+        while second is not None:
+            found, second = found.unionByName(cut(_hits(rows, second, False))), next(blocks, None)
+        whole = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+        # a row for each block at most
+        merged = found.groupBy("origin").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), whole("hits"), whole("items"), whole("matches"))
+    return merged.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), "items", "matches")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents without a benchmark window, all columns as they are."""
-    text = free_name(docs.columns, "scanned_text")
-    blocks = docs.sparkSession.sparkContext.broadcast(benchmark_blocks(benchmark, window, block_words))
     bounded(docs.sparkSession)
-    wide = docs.withColumn(text, F.col("text").cast("string"))
-    kept = T.StructType(docs.schema.fields)
+    text, kept = free_name(docs.columns, "scanned_text"), T.StructType(docs.schema.fields)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            clean = pa.array([x["n_hit"] == 0 for x in _scan(batch.column(batch.num_columns - 1), blocks.value)], pa.bool_())
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(clean)
+    def clean(df: DataFrame, index: TestIndex) -> DataFrame:
+        spread = df.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ok = pa.array([x["n_hit"] == 0 for x in _scan(batch.column(batch.num_columns - 1), spread.value)], pa.bool_())
+                yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(ok)
 
-    return wide.mapInArrow(trimmed(run), kept)
+        return df.withColumn(text, F.col("text").cast("string")).mapInArrow(trimmed(run), kept)
+
+    blocks = benchmark_blocks(benchmark, window, block_words)
+    out = clean(docs, next(blocks))
+    for index in blocks:
+        out = clean(cut(out), index)  # cut, so that no task holds two blocks
+    return out
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

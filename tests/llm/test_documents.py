@@ -230,6 +230,9 @@ def test_decontaminate_keeps_rows_as_they_are(spark, awkward, empty):
     clean = decontaminate.decontaminate(awkward, benchmark)
     assert clean.schema == awkward.schema
     assert sorted(str(r["doc_id"]) for r in clean.collect()) == sorted(str(i) for i, _ in AWKWARD if i not in (8, 9))
+    two = benchmark.unionByName(spark.createDataFrame([(2, "one")], "item_id long, text string"))
+    by_block = decontaminate.decontaminate(awkward, two, block_words=1)
+    assert sorted(str(r["doc_id"]) for r in by_block.collect()) == sorted(str(i) for i, _ in AWKWARD if i not in (4, 5, 8, 9))
     assert decontaminate.decontaminate(awkward, benchmark.limit(0)).count() == len(AWKWARD)
     assert decontaminate.decontaminate(empty, benchmark).count() == 0
 
