@@ -1,13 +1,15 @@
 """Main text of web pages by consensus of each host's pages.
 
-Pass 1 scores every page's containers: text in paragraphs counts for the container that holds them, and half for
-the one around it, less what is in links. Each page votes for the generalised path of its best container
-(tags with their classes, digits left out). The votes are counted by host and path in Spark, and each host's
-path with most votes wins. Pass 2 reads every page again and extracts the text of the container at its host's
-path; a page without one, or with far better text elsewhere, keeps its own best container.
+Pass 1 finds every page's best container: the lowest one that holds nearly all text outside links and boilerplate.
+A container with text of its own (a heading, a lead) is not left for a part of it, nor is an article. Each page votes
+for the generalised path of its best container (tags with their classes, digits left out). The votes are counted by
+host and path in Spark, and each host's path with most votes wins. Pass 2 reads every page again and extracts the
+text of all containers at its host's path in page order, with the text right around them; a page without one, or with
+far better text elsewhere, keeps its own best container.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out, by
-tag, role or the words in class and id; an article's own header stays. Character references are decoded, white space in a block becomes one space,
+tag, role or the words in class and id; an article's own header stays, and so do headings and parts of an article
+whose id only holds such a word among others. Character references are decoded, white space in a block becomes one space,
 and blocks are joined in page order by a newline.
 
 Defined cases: null or broken html gives what text there is, empty if none; a null url is a host of its own; repeated
@@ -40,8 +42,12 @@ WORDS = frozenset(
 #: These are left out only by their tag or role, or as a reader's comment or an advert; their class names describe layout.
 FRAMES = frozenset("html body main article".split())
 FRAME_WORDS = frozenset("comment comments reply replies ad ads advert advertisement sponsored promo".split())
-#: A page keeps its own best container if the host's has less than this share of its score.
+#: Words beside those above in an id that names a part of the layout, not what a text is about.
+COMPANIONS = frozenset("area bar block box button buttons container content div form icons inner li links list panel post posts section thread wrap wrapper".split())
+#: A page keeps its own best container if the host's have less than this share of the text elsewhere.
 LEAST_SHARE = 0.3
+#: Nearly all text.
+NEARLY = 0.9
 #: Hosts that are broadcast with their paths; more are joined by shuffle.
 BROADCAST_ROWS = 100_000
 SALTS = 32
@@ -53,22 +59,31 @@ _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("tag", "path", "out", "parent", "score", "start", "end", "anchor")
+    __slots__ = ("tag", "path", "out", "parent", "own", "total", "heading", "start", "end", "anchor", "up", "inside")
 
     def __init__(self, tag: str, path: str, out: bool, parent: Node | None, anchor: bool):
         self.tag, self.path, self.out, self.parent, self.anchor = tag, path, out, parent, anchor
-        self.score, self.start, self.end = 0.0, 0, 0
+        self.own, self.total, self.heading = 0, 0, False  # characters outside links: right in it, in all of it; whether a heading is right in it
+        self.start, self.end = 0, 0
+        # the container around it; whether an article or main is
+        self.up = parent if parent is None or parent.parent is None or parent.tag in CONTAINER else parent.up
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
 
 
-def _left_out(tag: str, attributes: dict[str, str]) -> bool:
+def _left_out(tag: str, attributes: dict[str, str], inside: bool) -> bool:
+    """Whether an element is boilerplate; ``inside`` tells that it is in an article or main."""
     if tag in LEFT_OUT or "hidden" in attributes or attributes.get("aria-hidden") == "true":
         return True
     if tag not in FRAMES and attributes.get("role", "").strip().lower() in ROLES:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")):
         return True
-    named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    return len(named) > 1 and any(w.lower() in (FRAME_WORDS if tag in FRAMES else WORDS) for w in _WORD.findall(named))
+    words = FRAME_WORDS if tag in FRAMES else WORDS
+    named, ids = ([w.lower() for w in _WORD.findall(attributes.get(k, ""))] for k in ("class", "id"))
+    if any(w in words for w in named):
+        return True
+    slug = inside or tag in FRAMES or tag in _HEADING
+    return any(w in words for w in ids) and not (slug and any(w not in words and w not in COMPANIONS for w in ids))
 
 
 def _general(tag: str, attributes: dict[str, str]) -> str:
@@ -82,11 +97,11 @@ class Page:
     def __init__(self, html: str):
         self.pieces: list[tuple[str, bool, bool]] = []  # text, left out, block boundary before it
         self.nodes: list[Node] = []
+        self.top = Node("", "", False, None, False)
         self._read(html)
 
     def _read(self, html: str) -> None:
-        top = Node("", "", False, None, False)
-        stack, at, boundary = [top], 0, True
+        stack, at, boundary = [self.top], 0, True
         block: list[tuple[Node, int, int]] = []
         pieces, nodes = self.pieces, self.nodes
 
@@ -101,18 +116,16 @@ class Page:
                     block.append((here, n, n if here.anchor else 0))
 
         def close_block() -> None:
-            """Score the block's text for the containers around it."""
+            """Count the block's text for the container around it."""
             nonlocal boundary
             boundary = True
             if block:
-                size, linked = sum(x[1] for x in block), sum(x[2] for x in block)
-                gain = size * (1 - linked / size) if size else 0.0
-                node, weight = block[0][0], 1.0
-                while node is not None and weight > 0.4:
-                    if node.tag in CONTAINER:
-                        node.score += weight * gain
-                        weight /= 2
-                    node = node.parent
+                node, heading = block[0][0], False
+                while node.parent is not None and node.tag not in CONTAINER:
+                    heading, node = heading or node.tag in _HEADING, node.parent
+                gain = sum(x[1] - x[2] for x in block)
+                node.own += gain
+                node.heading = node.heading or heading and gain > 0
                 block.clear()
 
         def pop() -> None:
@@ -175,7 +188,7 @@ class Page:
             attributes = {k.lower(): unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(m[3])} if m[3].strip() else {}
             parent = stack[-1]
             own_header = tag == "header" and any(x.tag == "article" for x in stack)
-            out = parent.out or not own_header and _left_out(tag, attributes)
+            out = parent.out or not own_header and _left_out(tag, attributes, parent.inside or parent.tag in ("article", "main"))
             if tag in RAW and not m[3].rstrip().endswith("/"):
                 end = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
                 at = end.start() if end else n
@@ -192,13 +205,50 @@ class Page:
         while len(stack) > 1:
             pop()
         close_block()
+        self.top.end = len(pieces)
+        for node in reversed(nodes):
+            node.total += node.own
+            node.up.total += node.total
+        self.top.total += self.top.own
+
+    def _has_own(self, node: Node) -> bool:
+        """Whether text right in a container keeps it from being left for a part of it; a line right in the body does not."""
+        return node.heading or node.own > ((1 - NEARLY) * node.total if node.tag in ("", "body") else 0)
+
+    def best(self) -> Node:
+        """The lowest container with nearly all text, the whole page if there is none."""
+        inner: dict[int, list[Node]] = {}
+        for x in self.nodes:
+            inner.setdefault(id(x.up), []).append(x)
+        outermost = [x for x in self.nodes if x.tag in ("article", "main") and not x.inside]
+        node = self.top
+        if len(outermost) == 1 and 2 * outermost[0].total > self.top.total:
+            # the page's only article or main
+            up = outermost[0]
+            while up is not self.top and not self._has_own(up := up.up):
+                pass
+            if not self._has_own(up):
+                node = outermost[0]
+        while node.tag != "article" and not self._has_own(node):
+            most = max(inner.get(id(node), ()), key=lambda x: x.total, default=None)
+            if most is None or most.total == 0 or most.total < NEARLY * node.total:
+                break
+            node = most
+        return node
+
+    def at(self, path: str) -> list[Node]:
+        """All containers at a path in page order, or the one around them while it adds little but text of its own."""
+        found = [x for x in self.nodes if x.path == path]
+        while found:
+            ups = {id(x.up): x.up for x in found}
+            wider = [up for up in ups.values() if up.tag not in ("", "body")]
+            if len(wider) < len(ups) or not any(self._has_own(up) for up in wider) or sum(x.total for x in found) < NEARLY * sum(up.total for up in wider):
+                break
+            found = wider
+        return found
 
-    def best(self, path: str | None = None) -> Node | None:
-        """The container with the highest score (the first of equals), of all or of those at a path."""
-        return max((x for x in self.nodes if path is None or x.path == path), key=lambda x: x.score, default=None)
-
-    def text(self, node: Node | None) -> str:
-        pieces = self.pieces if node is None else self.pieces[node.start : node.end]
+    def text(self, node: Node) -> str:
+        pieces = self.pieces[node.start : node.end]
         blocks: list[list[str]] = [[]]
         for text, out, boundary in pieces:
             if boundary:
@@ -211,11 +261,11 @@ class Page:
 
 def extract(html: str | None, path: str | None = None) -> str:
     page = Page(html or "")
-    own = page.best()
-    chosen = page.best(path) if path else None
-    if chosen is None or own is not None and chosen.score < LEAST_SHARE * own.score:
-        chosen = own
-    return page.text(chosen)
+    chosen = page.at(path) if path else []
+    total = sum(x.total for x in chosen)
+    if not chosen or total < LEAST_SHARE * (page.top.total - total):
+        chosen = [page.best()]
+    return "\n".join(filter(None, map(page.text, chosen)))
 
 
 def _host(url):
@@ -228,7 +278,7 @@ def votes(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [Page(x or "").best() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None or x.score <= 0 else x.path for x in found], pa.string())], names=["host", "path"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.path or None for x in found], pa.string())], names=["host", "path"])
 
     voted = pages.select(_host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(trimmed(run), "host string, path string")
     return voted.where("path IS NOT NULL").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))

@@ -84,6 +84,33 @@ def test_main_text(page, text):
     assert html.extract(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<article><section><p>{'a' * 1000}</p></section><section><p>{'b' * 400}</p></section><section><p>{'c' * 300}</p></section></article>", "\n".join(("a" * 1000, "b" * 400, "c" * 300))),
+        ("<body><article><h1>T</h1>" + "".join(f"<div class=row><div class=col><p>{c * 50}</p></div></div>" for c in "abc") + "</article><footer>f</footer></body>", "\n".join(("T", "a" * 50, "b" * 50, "c" * 50))),
+        (f"<body><div class=post><h1>T</h1><p>lead</p><div class=entry><p>{'a' * 500}</p></div></div><nav>n</nav></body>", "T\nlead\n" + "a" * 500),
+        (f"<body><div class=strip><p>hi</p></div><div class=story><p>{'a' * 500}</p></div></body>", "a" * 500),
+        (f"<body><div class=other><p>{'b' * 60}</p></div><div><article><p>{'a' * 100}</p></article></div></body>", "a" * 100),
+        ("<article><h2 id=how-to-search-and-share>H</h2><section id=social-history><p>x</p></section><div id=share-buttons>no</div><div id=comments>no</div></article>", "H\nx"),
+        ('<article id="how-to-comment"><p>x</p></article><article id="comment-7"><p>no</p></article>', "x"),
+    ],
+)
+def test_main_text_is_whole(page, text):
+    assert html.extract(page) == text
+
+
+def test_all_containers_at_the_hosts_path(spark):
+    one = lambda t: f"<body><div class=side><p>zz</p></div><div class=part><p>{t}</p></div></body>"
+    more = f"<body><div class=side><p>{'z' * 90}</p></div><div class=part><p>{'a' * 200}</p></div><div class=part2><p>{'b' * 30}</p></div><div class=part><p>{'c' * 90}</p></div></body>"
+    lead = f"<body><div class=side><p>{'z' * 90}</p></div><div class=post><h1>T</h1><div class=part><p>{'a' * 200}</p></div></div></body>"
+    rows = [(i, "http://h/a", one(c * 300)) for i, c in enumerate("uvwxy")] + [(7, "http://h/a", more), (8, "http://h/b", lead)]
+    got = {r["page_id"]: r["text"] for r in html.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "u" * 300 and got[7] == "\n".join(("a" * 200, "b" * 30, "c" * 90))
+    nested = "<body><div class=side><p>zz</p></div><div class=post><div class=part><p>{}</p></div></div></body>"
+    assert html.extract(lead, ">body>div.post>div.part") == "T\n" + "a" * 200 and html.extract(nested.format("a" * 200), ">body>div.post>div.part") == "a" * 200
+
+
 def test_host_votes(spark, monkeypatch):
     article = lambda t: f"<div class='box7'><p>{'menu like words ' * 30}</p></div><article class='c1 story9'><p>{t}</p></article>"
     usual = lambda t: f"<div class='box8'><p>x</p></div><article class='story4 c2'><p>{t * 20}</p></article>"
