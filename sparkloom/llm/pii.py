@@ -3,7 +3,12 @@
 Regular expressions propose spans; validators confirm them (Luhn for cards, mod-97 for bank accounts,
 ranges for addresses and numbers); context words in the text just before a span raise or lower its score.
 The kinds email, ip, card and phone are kept whenever their validator holds, and their score is reported;
-bank accounts need their checksum, and social security numbers, which have none, need context.
+bank accounts need their checksum, and social security numbers, which have none, need context. The context of these two
+is the text's 40 characters before a span, whatever spans are in it; that of the other kinds, where it only moves the
+score, ends at the last match of the kind. ``op1_pii`` ends it there for all kinds, as its SQL does.
+
+A bank account may start at any code of a country and two digits and end at any group of what follows: at its country's
+length if the checksum holds there, else at the longest end where it does.
 
 Places come from the text split at the pattern: a match starts after all texts and matches before it. All
 lengths are in code points. The patterns below are written so that the regular-expression engine neither
@@ -56,6 +61,18 @@ MORE = (
     Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "-", 0.3, ("ssn", "social security", "taxpayer"), ("isbn", "part"), False, 0.5, "[0-9-]"),
 )
 KINDS = BASE + MORE
+#: A bank account's start, and in groups 1 and 2 the most that may belong to it and a letter or digit right after that.
+_ACCOUNT = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)([A-Za-z0-9]?))"
+#: Lengths of bank accounts by country, from the IBAN registry.
+ACCOUNT_LENGTHS = {
+    c: n
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+    }.items()
+    for c in codes.split()
+}
 #: Code points before a span in which context words count.
 CONTEXT = 40
 RAISE, LOWER = 0.3, 0.2
@@ -118,19 +135,30 @@ def _split(df: DataFrame, kind: Kind, text: str) -> DataFrame:
     """Adds <kind>_hits, the matches, and <kind>_gaps, the texts around them (null without matches)."""
     none = F.array().cast("array<string>")
     hits = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    if kind.name == "iban":
+        for k, part in enumerate(("hits", "tails", "nexts")):
+            df = df.withColumn(f"iban_{part}", F.regexp_extract_all(text, F.lit(_ACCOUNT), F.lit(k)))
+        return df.withColumn("iban_gaps", F.when(F.size("iban_hits") > 0, F.split(text, _ACCOUNT, -1)))
     df = df.withColumn(f"{kind.name}_hits", F.when(F.contains(F.col(text), F.lit(kind.needs)), hits).otherwise(none) if kind.needs else hits)
     return df.withColumn(f"{kind.name}_gaps", F.when(F.size(f"{kind.name}_hits") > 0, F.split(text, kind.pattern, -1)))
 
 
-def _matches(kind: Kind) -> Column:
-    """gap (the text before a match, from the last one on), hit, rest (the text after it, up to the next) and place of each match."""
+def _matches(kind: Kind, whole: bool) -> Column:
+    """gap (the text before a match, from the last one on), hit, rest (the text after it, up to the next), place and near (its context) of each match."""
     gaps, hits = F.col(f"{kind.name}_gaps"), F.col(f"{kind.name}_hits")
     n = F.size(hits)
-    return F.arrays_zip(F.slice(gaps, 1, n).alias("gap"), hits.alias("hit"), F.slice(gaps, 2, n).alias("rest"), F.sequence(F.lit(1), n).alias("place"))
+    near = F.slice(gaps, 1, n)
+    if whole and not kind.base:
+        # the last CONTEXT code points hold no more than 10 matches of 4 code points or more
+        earlier = lambda k: F.filter(F.sequence(F.greatest(F.lit(1), k - 10), k), lambda j: j < k)
+        last = lambda j: F.concat(F.right(F.element_at(gaps, j), F.lit(CONTEXT)), F.element_at(hits, j))
+        near = F.transform(F.sequence(F.lit(1), n), lambda k: F.right(F.concat(F.array_join(F.transform(earlier(k), last), ""), F.right(F.element_at(gaps, k), F.lit(CONTEXT))), F.lit(CONTEXT)))
+    more = [F.col("iban_tails").alias("tail"), F.col("iban_nexts").alias("next")] if kind.name == "iban" else []
+    return F.arrays_zip(F.slice(gaps, 1, n).alias("gap"), hits.alias("hit"), F.slice(gaps, 2, n).alias("rest"), F.sequence(F.lit(1), n).alias("place"), near.alias("near"), *more)
 
 
 def _confirmed(kind: Kind, x: Column) -> Column:
-    ok = valid(kind.name, x["hit"]) & (_score(kind, x["gap"]) >= kind.least)
+    ok = valid(kind.name, x["hit"]) & (_score(kind, x["near"]) >= kind.least)
     if kind.border:
         # an empty text beside a match is the text's end or another match
         before = F.when(x["gap"] == "", x["place"] == 1).otherwise(~F.right(x["gap"], F.lit(1)).rlike(kind.border))
@@ -139,33 +167,74 @@ def _confirmed(kind: Kind, x: Column) -> Column:
     return ok
 
 
-def _placed(kind: Kind, rank: int) -> Column:
+def _account(x: Column) -> Column:
+    """The bank account at a start, or null."""
+    groups = F.split(F.concat(x["hit"], x["tail"]), " ")
+    ends = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda k: F.struct(F.array_join(F.slice(groups, 1, k), " ").alias("a"), ((k < F.size(groups)) | (x["next"] == "")).alias("free")))
+    right = F.transform(F.filter(ends, lambda e: e["free"] & valid("iban", e["a"])), lambda e: e["a"])
+    lengths = F.create_map(*[F.lit(v) for item in ACCOUNT_LENGTHS.items() for v in item])
+    usual = F.filter(right, lambda a: F.length(F.replace(a, F.lit(" "), F.lit(""))) == F.try_element_at(lengths, F.substr(x["hit"], F.lit(1), F.lit(2))))
+    return F.get(F.concat(usual, right), 0)
+
+
+def _accounts(whole: bool) -> Column:
+    """The matches of the bank accounts' pattern with the account at each, or null."""
+    kind = next(k for k in KINDS if k.name == "iban")
+    return F.transform(_matches(kind, whole), lambda x: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), x["near"].alias("near"), _account(x).alias("account")))
+
+
+_SPAN = "struct<start:int,rank:int,kind:string,end:int,score:double>"
+
+
+def _span(kind: Kind, rank: int, begin: Column, end: Column, near: Column) -> Column:
+    return F.struct(begin.alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), end.alias("end"), _score(kind, near).alias("score")).cast(_SPAN)
+
+
+def _placed(kind: Kind, rank: int, whole: bool) -> Column:
     """start, rank, kind, end and score of the confirmed matches, in order."""
-    span = "struct<start:int,rank:int,kind:string,end:int,score:double>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("found"))
+    none = F.array().cast(f"array<{_SPAN}>")
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), none.alias("found"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["hit"])
-        own = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), end.alias("end"), _score(kind, x["gap"]).alias("score")).cast(span)
-        return F.struct(end.alias("at"), F.when(_confirmed(kind, x), F.array_append(acc["found"], own)).otherwise(acc["found"]).alias("found"))
+        after = begin + F.length(x["hit"])
+        end = begin + F.length(x["account"]) if kind.name == "iban" else after
+        ok = x["account"].isNotNull() & (begin >= acc["free"]) if kind.name == "iban" else _confirmed(kind, x)
+        found = F.when(ok, F.array_append(acc["found"], _span(kind, rank, begin, end, x["near"]))).otherwise(acc["found"])
+        return F.struct(after.alias("at"), F.when(ok, end).otherwise(acc["free"]).alias("free"), found.alias("found"))
 
-    found = F.aggregate(_matches(kind), start, step, lambda acc: acc["found"])
-    return F.when(F.size(f"{kind.name}_hits") > 0, found).otherwise(F.array().cast(f"array<{span}>"))
+    found = F.aggregate(_accounts(whole) if kind.name == "iban" else _matches(kind, whole), start, step, lambda acc: acc["found"])
+    return F.when(F.size(f"{kind.name}_hits") > 0, found).otherwise(none)
 
 
-def find(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """doc_id and spans (start, rank, kind, end, score), ordered by start and kind."""
+def find(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, whole: bool = True) -> DataFrame:
+    """doc_id and spans (start, rank, kind, end, score), ordered by start and kind; without ``whole``, every context ends at the last match of its kind."""
     df = with_text(docs)
     for kind in kinds:
         df = _split(df, kind, "text")
-    df = df.select("doc_id", *[_placed(kind, rank).alias(kind.name) for rank, kind in enumerate(kinds)])
+    df = df.select("doc_id", *[_placed(kind, rank, whole).alias(kind.name) for rank, kind in enumerate(kinds)])
     return df.select("doc_id", F.array_sort(F.concat(*[kind.name for kind in kinds])).alias("spans"))
 
 
 def _marked(kind: Kind) -> Column:
     """The text before each match, and the match or what stands for it."""
-    return F.transform(_matches(kind), lambda x: F.concat(x["gap"], F.when(_confirmed(kind, x), F.lit(f"[{kind.name.upper()}]")).otherwise(x["hit"])))
+    return F.transform(_matches(kind, True), lambda x: F.concat(x["gap"], F.when(_confirmed(kind, x), F.lit(f"[{kind.name.upper()}]")).otherwise(x["hit"])))
+
+
+def _without_accounts() -> Column:
+    """The text with bank accounts marked; an account reaches over texts and starts after its own start."""
+    start = F.struct(F.lit(0).alias("skip"), F.array().cast("array<string>").alias("parts"))
+    rest = lambda text, skip: F.substr(text, skip + 1, F.length(text))
+    left = lambda text, skip: F.greatest(F.lit(0), skip - F.length(text))
+
+    def step(acc: Column, x: Column) -> Column:
+        skip = left(x["gap"], acc["skip"])
+        ok = x["account"].isNotNull() & (skip == 0)
+        part = F.concat(rest(x["gap"], acc["skip"]), F.when(ok, F.lit("[IBAN]")).otherwise(rest(x["hit"], skip)))
+        after = F.when(ok, F.length(x["account"]) - F.length(x["hit"])).otherwise(left(x["hit"], skip))
+        return F.struct(after.alias("skip"), F.array_append(acc["parts"], part).alias("parts"))
+
+    return F.aggregate(_accounts(True), start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), rest(F.element_at("iban_gaps", -1), acc["skip"])))
 
 
 def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
@@ -183,13 +252,14 @@ def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     for kind in sorted(kinds, key=lambda k: order.get(k.name, 9)):
         keep = _split(keep, kind, work)
         gaps, hits = F.col(f"{kind.name}_gaps"), F.col(f"{kind.name}_hits")
-        keep = keep.select("row", F.when(F.size(hits) > 0, F.concat(F.array_join(_marked(kind), ""), F.element_at(gaps, -1))).otherwise(F.col(work)).alias(work))
+        marked = _without_accounts() if kind.name == "iban" else F.concat(F.array_join(_marked(kind), ""), F.element_at(gaps, -1))
+        keep = keep.select("row", F.when(F.size(hits) > 0, marked).otherwise(F.col(work)).alias(work))
     out = [F.col(work).alias(c) if c == "text" else F.length(work).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" and "text" in columns else F.col("row").getField(c).alias(c) for c in columns]
     return keep.select(*out)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find(table(spark, sf_dir, "documents"))
+    found = find(table(spark, sf_dir, "documents"), whole=False)
     shown = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     base = F.filter("spans", lambda s: s["rank"] < len(BASE))
     count = lambda name: F.size(F.filter("spans", lambda s: s["kind"] == name)).cast("long").alias(f"n_{name}")
@@ -222,22 +292,28 @@ def brute_force(text: str | None) -> tuple[int, int, int, int, str, str]:
     )
     spans = [(m.start(), rank, name, m.end()) for rank, (name, p, ok) in enumerate(rules) for m in re.finditer(p, text) if ok(m[0])]
     base = sorted(spans)
-    for rank, kind in enumerate(MORE, len(BASE)):
-        last = 0
-        for m in re.finditer(kind.pattern, text):
-            near = text[last : m.start()][-CONTEXT:].lower()
-            last = m.end()
-            if re.match(kind.border, text[m.start() - 1 : m.start()] or "*") or re.match(kind.border, text[m.end() : m.end() + 1] or "*"):
+    after = 0
+    for at in range(len(text)):
+        if at < after or text[at - 1 : at].isascii() and text[at - 1 : at].isalnum():
+            continue
+        ends = []
+        for end in range(at + 15, min(at + 44, len(text)) + 1):
+            groups = re.fullmatch("([A-Z]{2}[0-9]{2})((?: ?[A-Z0-9]{4})+)( ?[A-Z0-9]{1,3})?", text[at:end])
+            if groups is None or text[end : end + 1].isascii() and text[end : end + 1].isalnum():
                 continue
-            hit = lambda w, near=near: bool(w) and re.search(r"(?<![a-z])(?:" + "|".join(w) + ")", near) is not None
-            score = round(max(0, min(1, kind.score + RAISE * hit(kind.raising) - LOWER * hit(kind.lowering))), 2)
-            if kind.name == "iban":
-                plain = m[0].replace(" ", "")
-                ok = 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
-            else:
-                ok = re.search("^(000|666|9)|-00-|-0000$", m[0]) is None
-            if ok and score >= kind.least:
-                spans.append((m.start(), rank, kind.name, m.end()))
+            plain = text[at:end].replace(" ", "")
+            if 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1:
+                ends.append((len(plain) == ACCOUNT_LENGTHS.get(plain[:2]), end))
+        if ends:
+            after = max(ends)[1]
+            spans.append((at, 4, "iban", after))
+    for at in range(len(text) - 10):
+        number = text[at : at + 11]
+        if re.fullmatch("[0-9]{3}-[0-9]{2}-[0-9]{4}", number) and not re.search("[0-9-]", text[max(0, at - 1) : at] + text[at + 11 : at + 12]):
+            near = " " + text[max(0, at - 40) : at].lower()
+            score = 3 + 3 * bool(re.search("[^a-z](ssn|social security|taxpayer)", near)) - 2 * bool(re.search("[^a-z](isbn|part)", near))
+            if number[:3] not in ("000", "666") and number[0] != "9" and number[4:6] != "00" and number[7:] != "0000" and score >= 5:
+                spans.append((at, 5, "ssn", at + 11))
     write = lambda x: ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(x))
     n = {k.name: sum(s[2] == k.name for s in spans) for k in BASE}
     return n["email"], n["ip"], n["card"], n["phone"], write(base), write(spans)

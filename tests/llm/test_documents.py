@@ -82,6 +82,27 @@ def test_pii_against_plain_patterns(spark):
     assert scores[8][:2] == [0.4, 0.9]
 
 
+ACCOUNTS = [
+    ("IBAN ES91 2100 0418 4502 0005 1332 BIC CAIXESBB", "IBAN [IBAN] BIC CAIXESBB"),
+    ("AT61 1904 3002 3457 3201 SWIFT", "[IBAN] SWIFT"),
+    ("pay PL61 1090 1014 0000 0712 1981 2874 Madrid, SE45 5000 0000 0583 9825 7466 X", "pay [IBAN] Madrid, [IBAN] X"),
+    ("ES9121000418450200051332 DE89 3704 0044 0532 0130 00 GB82WEST12345698765432 ok", "[IBAN] [IBAN] [IBAN] ok"),
+    ("REF AB12 ES91 2100 0418 4502 0005 1332", "REF AB12 [IBAN]"),
+    ("NO93 8601 1117 947 BIC MT84MALT011000012345MTLCAST001S", "[IBAN] BIC [IBAN]"),
+    ("ES91 2100 0418 4502 0005 1333 BIC", "ES91 2100 0418 4502 0005 1333 BIC"),
+    ("SSN: 123-45-6789, 234-56-7890", "SSN: [SSN], [SSN]"),
+    ("SSN: 123-45-6789 and forty more characters go by here, then 234-56-7890", "SSN: [SSN] and forty more characters go by here, then 234-56-7890"),
+]
+
+
+def test_accounts_and_numbers_are_found_whole(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(ACCOUNTS)], "doc_id long, text string")
+    for r in pii.find(df).collect():
+        text = ACCOUNTS[r["doc_id"]][0]
+        assert ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in r["spans"]) == pii.brute_force(text)[5], text
+    assert [r["text"] for r in pii.redact(df).orderBy("doc_id").collect()] == [t for _, t in ACCOUNTS]
+
+
 def test_pii_is_native_and_takes_awkward_rows(spark, awkward, empty):
     found = pii.find(awkward)
     plan = found._jdf.queryExecution().executedPlan().toString()
