@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, trimmed, with_text
+from .common import cut, free_name, table, trimmed, with_text
 from .components import components
 from .words import NONSPACE, chunks, mix, shingles, utf8, word_hashes
 
@@ -114,7 +114,7 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int, column: int = 1) -> Iter
 
 
 def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """kind 0: doc_id, set id, set size and point of every row. kind 1: fingerprint of a shingle often seen in a window, and how often."""
+    """kind 0: doc_id, set id, set size, point and text's hash of every row. kind 1: fingerprint of a shingle often seen in a window, and how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -128,11 +128,11 @@ def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             head = np.flatnonzero(np.append(True, marks[1:] != marks[:-1]))
             count = np.diff(np.append(head, len(marks)))
             value, count = marks[head[count >= OFTEN]], count[count >= OFTEN]
-            return _rows(np.ones(len(value), np.int32), pa.nulls(len(value), pa.int64()), value.astype(np.int64), count, pa.nulls(len(value), pa.binary()))
+            return _rows(np.ones(len(value), np.int32), pa.nulls(len(value), pa.int64()), value.astype(np.int64), count, pa.nulls(len(value), pa.binary()), pa.nulls(len(value), pa.int64()))
 
         for batch, i, sets in _sets(batches, size):
             ids = [set_id(s) for s in sets]
-            yield _rows(np.zeros(len(sets), np.int32), batch.column(0).slice(i, len(sets)), np.array(ids, np.int64), np.array([len(s) for s in sets], np.int64), packed([points(s) for s in sets]))
+            yield _rows(np.zeros(len(sets), np.int32), batch.column(0).slice(i, len(sets)), np.array(ids, np.int64), np.array([len(s) for s in sets], np.int64), packed([points(s) for s in sets]), batch.column(2).slice(i, len(sets)))
             for x, s in zip(ids, sets, strict=True):
                 if x not in seen and len(s):
                     seen.add(x)
@@ -146,15 +146,15 @@ def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         if window:
             yield often()
 
-    return with_text(docs).mapInArrow(trimmed(run), "kind int, doc_id long, id long, n long, point binary")
+    return with_text(docs).withColumn("mark", F.xxhash64("text")).mapInArrow(trimmed(run), "kind int, doc_id long, id long, n long, point binary, mark long")
 
 
 def fingerprints(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(32)).astype(np.uint32)
 
 
-def _rows(kind, doc, value, n, point) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), doc, pa.array(value, pa.int64()), pa.array(n, pa.int64()), point], names=["kind", "doc_id", "id", "n", "point"])
+def _rows(kind, doc, value, n, point, mark) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), doc, pa.array(value, pa.int64()), pa.array(n, pa.int64()), point, mark], names=["kind", "doc_id", "id", "n", "point", "mark"])
 
 
 def frequency_ranks(rows: DataFrame, most: int | None = None) -> np.ndarray:
@@ -258,12 +258,14 @@ def companions(met: DataFrame) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """task, sid and hashes of the wanted sets (doc_id, sid, task), from their documents' texts.
+    """task, sid and hashes of the wanted sets (doc_id, mark, sid, task), from their documents' texts.
 
     Up to ``BROADCAST_ROWS`` wanted rows are broadcast to the texts; more are joined by shuffle. A task that reads
     a wanted text again emits it once.
     """
-    joined = with_text(docs).join(F.broadcast(wanted) if fits_broadcast(wanted) else wanted, "doc_id").select("sid", "text", "task")
+    texts = with_text(docs).withColumn("mark", F.xxhash64("text"))
+    named = wanted.select(F.col("doc_id").alias("of"), F.col("mark").alias("with"), "sid", "task")
+    joined = texts.join(F.broadcast(named) if fits_broadcast(wanted) else named, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("with"))).select("sid", "text", "task")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -456,7 +458,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, t
     tasked = pairs.join(placed.select(F.col("vertex").alias("a"), "component", F.col("blk").alias("i")), "a").join(placed.select(F.col("vertex").alias("b"), F.col("blk").alias("j")), "b")
     tasked = cut(tasked.select("a", "b", F.xxhash64("component", F.least("i", "j"), F.greatest("i", "j")).alias("task")))
     need = tasked.select("task", F.col("a").alias("sid")).unionByName(tasked.select("task", F.col("b").alias("sid"))).distinct()
-    wanted = cut(need.join(classes.select("sid", "doc_id"), "sid").where("doc_id IS NOT NULL").select("doc_id", "sid", "task"))
+    wanted = cut(need.join(classes.select("sid", "doc_id", "mark"), "sid").select("doc_id", "mark", "sid", "task"))
     held = whole_sets(docs, wanted, size).select("task", F.lit(0).alias("kind"), F.col("sid").alias("a"), F.lit(0).cast("long").alias("b"), "hashes")
     rows = held.unionByName(tasked.select("task", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("array<long>").alias("hashes")))
     return rows.repartition("task").sortWithinPartitions("task", "kind", "a", "b").mapInArrow(trimmed(_spanning(threshold)), "a long, b long")
@@ -517,12 +519,18 @@ def cross_pairs(members: DataFrame, label: DataFrame, classes: DataFrame, thresh
     return allowed(pairs_of_small(some.where(small)), classes, threshold).unionByName(pairs_of_large(some.where(~small), classes, threshold)).distinct()
 
 
-def jaccard_components(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, set_id and component_id of every row."""
+def marked_components(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, mark (the text's hash), n_shingles, set_id, component and component_id of every row.
+
+    The component is a set's id, so that it is there without any doc_id; it is null for the empty set.
+    """
     rows = cut(shingle_sets(docs, size))
-    own = rows.where("kind = 0").select("doc_id", F.col("id").alias("sid"), F.col("n").alias("n_shingles"))
+    own = rows.where("kind = 0").select("doc_id", F.col("id").alias("sid"), F.col("n").alias("n_shingles"), "mark")
     members = cut(companions(meetings(docs, frequency_ranks(rows), size, threshold)))
-    classes = cut(rows.where("kind = 0 AND n > 0").groupBy(F.col("id").alias("sid")).agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point")))
+    # a row without doc_id stands for a set only where no other does
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("one")
+    classes = rows.where("kind = 0 AND n > 0").groupBy(F.col("id").alias("sid")).agg(one, F.first("n").alias("n"), F.first("point").alias("point"))
+    classes = cut(classes.select("sid", "one.doc_id", "one.mark", "n", "point"))
     stars = pivot_pairs(members)
     links = cut(verified(allowed(stars, classes, threshold), docs, classes, size, threshold))
     label = cut(components(links))
@@ -531,23 +539,33 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, threshold: int = TH
         label = components(links.unionByName(more))
     named = classes.select("sid", "doc_id").join(label.withColumnRenamed("vertex", "sid"), "sid", "left").select("sid", "doc_id", F.coalesce("component", "sid").alias("component"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_set = named.join(smallest, "component").select("sid", "component_id")
-    found = own.where("n_shingles > 0").join(by_set, "sid", "left").select("doc_id", "n_shingles", F.col("sid").alias("set_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    alone = own.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("sid").alias("set_id"), F.col("doc_id").alias("component_id"))
+    by_set = named.join(smallest, "component").select("sid", "component", "component_id")
+    found = own.where("n_shingles > 0").join(by_set, "sid", "left").select("doc_id", "mark", "n_shingles", F.col("sid").alias("set_id"), "component", F.coalesce("component_id", "doc_id").alias("component_id"))
+    alone = own.where("n_shingles = 0").select("doc_id", "mark", "n_shingles", F.col("sid").alias("set_id"), F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
     return found.unionByName(alone)
 
 
+def jaccard_components(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, set_id and component_id of every row."""
+    return marked_components(docs, size, threshold).select("doc_id", "n_shingles", "set_id", "component_id")
+
+
 def one_of_each(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """The document with the smallest doc_id of each component, all columns as they are.
+    """One row of each component, all columns as they are: the one with the smallest doc_id, set id and text's hash.
 
-    Rows that repeat a doc_id keep one (the first by text); rows without a doc_id all stay.
+    Rows without a doc_id come last in a component, and stay if they are alone in it. Rows of the empty set link with
+    nothing and all stay, but for repeats of a doc_id and text.
     """
-    keep = jaccard_components(docs, size, threshold).where("doc_id = component_id").select("doc_id").distinct()
-    stay = docs.join(keep, "doc_id", "left_semi").select(docs.columns)
-    again = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
-    single = stay.join(again, "doc_id", "left_anti").select(docs.columns)
-    first = stay.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("r")).select("r.*").select(docs.columns)
-    return single.unionByName(first).unionByName(docs.where("doc_id IS NULL"))
+    rows = marked_components(docs, size, threshold).groupBy("component", "set_id", "doc_id", "mark").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "set_id", "mark", "n")).alias("r")
+    chosen = rows.where("component IS NOT NULL").groupBy("component").agg(first).select("r.doc_id", "r.mark", "r.n")
+    chosen = chosen.unionByName(rows.where("component IS NULL").select("doc_id", "mark", F.when(F.col("doc_id").isNull(), 1).otherwise(F.col("n")).alias("n")))
+    names = [free_name(docs.columns, f"kept_{c}") for c in ("id", "mark", "n")]
+    keep = cut(chosen.toDF(*names))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(names[0])) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col(names[1]))
+    single = docs.join(keep.where(F.col(names[2]) == 1), same, "left_semi").select(docs.columns)
+    again = docs.join(keep.where(F.col(names[2]) > 1), same).groupBy(*names[:2]).agg(F.first(F.struct(*[docs[c] for c in docs.columns])).alias("r"))
+    return single.unionByName(again.select("r.*").select(docs.columns))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -432,6 +432,17 @@ def test_one_of_each(spark, awkward, empty):
     assert jaccard.one_of_each(empty).count() == 0
 
 
+def test_one_of_each_goes_by_texts_not_ids(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(3, a), (7, a + " more"), (7, b), (8, b), (7, c), (7, c), (None, c + " x"), (None, "d " + a), (None, "e f g h i j"), (None, "e f g h i j"), (9, None), (9, None), (9, ""), (None, ""), (None, None)]
+    docs = make(spark, rows).repartition(3)
+    kept = jaccard.one_of_each(docs)
+    assert kept.schema == docs.schema
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert [x for x in got if x[1]] == sorted([(3, a), (7, b), (7, c), (None, "e f g h i j")], key=str)
+    assert sorted(str(i) for i, t in got if not t) == ["9", "None", "None"]
+
+
 def test_components_by_stars(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(100, 130)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(7, 7), (None, 3), (200, 201), (200, 201)]
