@@ -38,11 +38,11 @@ def turns(conversations: DataFrame) -> DataFrame:
 
 
 def prefixes(t: DataFrame) -> DataFrame:
-    """conv_id, turn, p1, p2, n: hashes and number of turns of each conversation up to each turn."""
+    """conv_id, turn, p1, p2, n: hashes and number of turns of each conversation up to each row, by turn, role and text."""
     by_blk = t.groupBy("conv_id", "blk").agg(F.bit_xor("h1").alias("b1"), F.bit_xor("h2").alias("b2"), F.count(F.lit(1)).alias("bn"))
     before = Window.partitionBy("conv_id").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
     blocks = by_blk.select("conv_id", "blk", *[F.coalesce(f("b").over(before), F.lit(0)).alias(c) for c, f in (("b1", lambda _: F.bit_xor("b1")), ("b2", lambda _: F.bit_xor("b2")), ("bn", lambda _: F.sum("bn")))])
-    upto = Window.partitionBy("conv_id", "blk").orderBy("turn")
+    upto = Window.partitionBy("conv_id", "blk").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inner = t.select("conv_id", "blk", "turn", F.bit_xor("h1").over(upto).alias("i1"), F.bit_xor("h2").over(upto).alias("i2"), F.count(F.lit(1)).over(upto).alias("i"))
     return inner.join(blocks, ["conv_id", "blk"]).select("conv_id", "turn", F.col("i1").bitwiseXOR(F.col("b1")).alias("p1"), F.col("i2").bitwiseXOR(F.col("b2")).alias("p2"), (F.col("i") + F.col("bn")).alias("n"))
 

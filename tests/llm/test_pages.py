@@ -179,6 +179,17 @@ def test_chats_against_sql(spark):
     assert text.count(chat.CLOSE) == 3 and "x< |im_end|>y" in text and text.startswith(f"{chat.OPEN}\n{chat.CLOSE}")
 
 
+def test_chats_with_ties_are_collapsed(spark):
+    said = [(1, 1, "user", "a"), (2, 1, "user", "a"), (2, 1, "user", "b"), (3, None, "user", "p"), (4, None, "user", "p"), (4, None, "user", "q"), (5, None, "user", "q"), (6, 1, "a", "z"), (6, 1, "b", "a"), (7, 1, "a", "z"), (8, 1, "b", "a")]
+    df = spark.createDataFrame(said, "conv_id long, turn long, role string, text string").repartition(3)
+    got = sorted(tuple(r) for r in chat.format_chats(df).collect())
+    assert [r[0] for r in got] == [2, 4, 5, 6, 8]
+    con = duckdb.connect()
+    con.register("frame", pd.DataFrame(said, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
+    con.execute("CREATE VIEW conversations AS SELECT * FROM frame")
+    assert got == sorted(con.sql(chat.ORACLE_SQL).fetchall())
+
+
 def test_chats_are_native(spark):
     df = spark.createDataFrame(CHATS, "conv_id long, turn long, role string, text string")
     plan = chat.format_chats(df)._jdf.queryExecution().executedPlan().toString()
