@@ -53,6 +53,18 @@ def test_warc_members_are_read_in_one_range_only(tmp_path):
     assert gzip.decompress(data) == record * 7
 
 
+def test_warc_headers_may_be_long(tmp_path):
+    import random
+
+    import pyarrow as pa
+
+    url = "data:text/html," + random.Random(1).randbytes(1 << 20).hex()
+    data = b"".join(gzip.compress(warc.record("response", i, u, b"body", "D", None, "x")) for i, u in enumerate(["u", url, "v"]))
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    got = [x for a in range(0, len(data), 300_000) for x in warc.RangeReader(pa.memory_map(str(tmp_path / "a.warc.gz")), len(data), a, a + 300_000)]
+    assert [fields["WARC-Target-URI"] for fields, _ in got] == ["u", url, "v"]
+
+
 def test_warc_least_bytes_and_empty(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
     kinds = {r["page_id"]: r["record_type"] for r in warc.read_archives(warc.write_archives(pages, fresh_path(spark, "w"), least_bytes=3)).collect()}
