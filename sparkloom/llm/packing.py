@@ -12,10 +12,11 @@ occur; a null doc_id is carried along; an empty table gives no rows; other colum
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
-from unicodedata import is_normalized
+from unicodedata import category, is_normalized, normalize
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ CACHE = 300_000
 CHUNK_BYTES = 8 << 20
 
 _TAIL = ".,*%$#&!|;:?"
+#: Letters whose kind and lower case are the same in every edition of Unicode's tables; other words are left to the tokenizer.
+_SETTLED = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0386-\u03ff\u0400-\u0481\u048a-\u052f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -52,8 +55,10 @@ class WordEncoder:
 
     The tokenizer drops white space and never merges across it, nor between a letter or digit and
     punctuation, so a text's ids are those of its words in a row. Words are split at the space and the
-    newline alone; every other character is left to the tokenizer. A word of letters in normal form goes
-    to its merges directly, as the steps before them would leave it as it is.
+    newline alone; every other character is left to the tokenizer. Punctuation at a word's end is taken off
+    only where a letter or digit stands before it once the word is normalised and in lower case, as either step
+    can leave a combining mark there, which punctuation joins. A word of settled letters in normal form
+    goes to its merges directly, as the steps before them would leave it as it is.
     """
 
     def __init__(self, path: str):
@@ -66,7 +71,7 @@ class WordEncoder:
         ids = self.cores.get(text)
         if ids is None:
             low = text.lower()
-            if text.isalpha() and low.isalpha() and "\u03a3" not in text and is_normalized("NFC", text):
+            if _SETTLED.fullmatch(text) and text.isalpha() and low.isalpha() and "\u03a3" not in text and is_normalized("NFC", text):
                 found = [t.id for t in self.tokenizer.model.tokenize(low.encode().decode("latin-1").translate(self.letters))]
             else:
                 found = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -75,9 +80,16 @@ class WordEncoder:
             self.cores[text] = ids = struct.pack(f"<{len(found)}I", *found)
         return ids
 
+    @staticmethod
+    def _ends_in_letter(core: str) -> bool:
+        if core.isascii():
+            return core[-1].isalnum()
+        low = normalize("NFC", core).lower()
+        return category(low[-1])[0] in "LN" and (low[-1].isascii() or _SETTLED.fullmatch(low[-1]) is not None)
+
     def word(self, word: str) -> bytes:
         core = word.rstrip(_TAIL)
-        if not core or not core[-1].isalnum():
+        if not core or not self._ends_in_letter(core):
             return self._core(word) if word else b""
         ids = self._core(core.lower() if core.isascii() and "<|" not in core else core)
         return ids + self._core(word[len(core) :]) if len(core) < len(word) else ids

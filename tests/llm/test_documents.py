@@ -271,6 +271,22 @@ def test_encoder_equals_the_tokenizer():
     assert [flat[a:b].tolist() for a, b in zip(begin[:-1], begin[1:], strict=True)] == want
 
 
+#: Letters whose normal form or lower case can end in a mark, and everything of the basic plane's first third.
+FUZZED = ["aB1 .,!'sİıIß", "éé́İ<|>endoftext .,", "ΣσςΑ .,", *("".join(map(chr, range(a, b))) + " .,!?;" for a, b in ((0x980, 0xA00), (0xA00, 0xA80), (0x900, 0x980), (0xF00, 0x1000), (0x590, 0x600), (0xFB00, 0xFB50), (0x21, 0x2FFF)))]
+
+
+def test_encoder_equals_the_tokenizer_on_random_strings():
+    rng, own = random.Random(5), packing.WordEncoder(packing.tokenizer_path())
+    for alphabet in FUZZED:
+        texts = ["".join(rng.choice(alphabet) if rng.random() < 0.7 else rng.choice(" .,aZ9İ|;") for _ in range(rng.randint(1, 14))) for _ in range(6000)]
+        flat, begin = own.encode(pa.array(texts))
+        want = [e.ids for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [flat[a:b].tolist() for a, b in zip(begin[:-1], begin[1:], strict=True)] == want
+    for text in ("BELEDİYESİ. Ankara", "পাহাড়, নদী"):
+        flat, _ = own.encode(pa.array([text]))
+        assert flat.tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def check_packed(rows, pieces, capacity):
     assert sorted((str(r["doc_id"]), r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == sorted((str(p[0]), *p[1:]) for p in pieces)
     by = {}
