@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,13 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a single machine) a temporary folder is
-    made and set as the checkpoint folder of this session.
+    A session without one gets an error, as executors on other machines could not see a temporary folder of the driver's.
     """
     where = spark.conf.get(CHECKPOINT_KEY, None)
     if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
-        spark.conf.set(CHECKPOINT_KEY, where)
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(where)
     return where
@@ -86,3 +83,28 @@ def free_name(taken, wanted: str) -> str:
     while wanted.lower() in names:
         wanted = f"_{wanted}"
     return wanted
+
+
+#: Keys with more than one in so many rows are heavy; there are fewer of them than this.
+HEAVY = 1000
+
+
+def join_named(rows: DataFrame, named: DataFrame, key: str, weight: str, broadcast_rows: int) -> DataFrame:
+    """Rows left-joined by a text key with ``named``, which has a row for each key and in ``weight`` how many rows have it.
+
+    Up to ``broadcast_rows`` keys are broadcast. Of more, only the heavy ones are; the others are joined by shuffle,
+    where none has more than one in ``HEAVY`` rows, and rows of heavy keys are dealt out evenly.
+    """
+    plain = named.drop(weight)
+    if named.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return rows.join(F.broadcast(plain), key, "left")
+    total = named.agg(F.sum(weight)).first()[0]
+    heavy = F.col(weight) * HEAVY > total
+    values = [c for c in plain.columns if c != key]
+    light, top, own = (free_name([*rows.columns, *named.columns], c) for c in ("light_values", "heavy_values", "own_key"))
+    packed = F.struct(*values)
+    found = rows.join(F.broadcast(named.where(heavy).select(key, packed.alias(top))), key, "left")
+    alone = F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string"))
+    found = found.withColumn(own, F.when(F.col(top).isNull(), F.col(key)).otherwise(alone))
+    found = found.join(named.where(~heavy).select(F.col(key).alias(own), packed.alias(light)), own, "left")
+    return found.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.coalesce(F.col(top)[v], F.col(light)[v]).alias(v) for v in values])

@@ -8,17 +8,26 @@ text of all containers at its host's path in page order, with the text right aro
 far better text elsewhere, keeps its own best container.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out, by
-tag, role or the words in class and id; an article's own header stays, and so do headings and parts of an article
-whose id only holds such a word among others. Character references are decoded, white space in a block becomes one space,
-and blocks are joined in page order by a newline.
-
-Defined cases: null or broken html gives what text there is, empty if none; a null url is a host of its own; repeated
-rows repeat; ties of votes go to the smaller path; an empty table gives no rows; other columns are ignored.
+tag or role, or by class and id of the tags that make up a layout. A class or id counts only where all of its words
+speak of boilerplate (``share-buttons``, not ``share-price``); headings, paragraphs and table cells are never judged by
+theirs but for a class that is an advert's own, and an id within an article only where it is that of comments or adverts. An
+article's own header stays. Character references are decoded, white space in a block becomes one space, and blocks are
+joined in page order by a newline.
+
+Pages are read in one pass without backtracking, and a container knows its parent and its own step alone, so time
+and memory grow with the page's length even if it is one unfinished tag or nests without end.
+
+Defined cases: null or broken html gives what text there is, empty if none; a quote without an end is a character of its
+tag; an unfinished tag at a page's end is markup; very long and very deep pages are read whole, one at a time; a null url is a
+host of its own; repeated rows repeat; ties of votes go to the smaller path; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -26,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, table, trimmed
+from .common import bounded, cut, join_named, table, trimmed
 
 #: Fixed values of HTML: elements without an end tag, raw text, what ends a paragraph, what a block is.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,60 +43,107 @@ RAW = frozenset("script style textarea title noscript template iframe xmp noembe
 BLOCK = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote dd dt figcaption td th".split())
 CONTAINER = frozenset("article body div main section".split())
-LEFT_OUT = frozenset("nav header footer aside form script style noscript template iframe object svg canvas button select textarea title dialog menu audio video math xmp noembed noframes".split())
+LEFT_OUT = frozenset("nav header footer aside form script style noscript template iframe object svg canvas button select textarea title dialog menu audio video xmp noembed noframes".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
+#: Tags whose class and id are looked at: those that make up a layout.
+JUDGED = frozenset("div section ul ol dl span center table html body main article details fieldset".split())
 WORDS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer sidebar aside ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments disqus respond replies reply widget widgets pagination pager toolbar skip login search".split()
 )
-#: These are left out only by their tag or role, or as a reader's comment or an advert; their class names describe layout.
+#: What is left out even by an id in an article, and all that counts for the frames of a page: reader comments and adverts.
+STRONG = frozenset("comment comments disqus respond reply replies ad ads adv advert adverts advertisement advertising sponsor sponsored promo share sharing newsletter cookie cookies consent gdpr".split())
 FRAMES = frozenset("html body main article".split())
 FRAME_WORDS = frozenset("comment comments reply replies ad ads advert advertisement sponsored promo".split())
-#: Words beside those above in an id that names a part of the layout, not what a text is about.
-COMPANIONS = frozenset("area bar block box button buttons container content div form icons inner li links list panel post posts section thread wrap wrapper".split())
+#: A class of these, whole, marks any tag as an advert.
+ADVERT = frozenset("ad ads advert adverts advertisement sponsored".split())
+#: Words that may stand beside those above in the name of a part of the layout.
+COMPANIONS = frozenset("area bar block bottom box button buttons container content desktop div form global header icons inner item items left li link links list main mobile module page panel post posts primary read more reader readers right secondary section site sticky strip the thread top user wrap wrapper".split())
 #: A page keeps its own best container if the host's have less than this share of the text elsewhere.
 LEAST_SHARE = 0.3
 #: Nearly all text.
 NEARLY = 0.9
-#: Hosts that are broadcast with their paths; more are joined by shuffle.
+#: Hosts that are broadcast with their paths; of more only the heavy ones are.
 BROADCAST_ROWS = 100_000
-SALTS = 32
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A tag from its name on: values in quotes, other characters, a quote without an end. Nothing that matched is given back.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[=\"'])*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What an element's start ends: open elements of the first tags, if none of the second stands between.
+_ENDS = {
+    "li": (("li",), ("ul", "ol", "menu")),
+    "dd": (("dd", "dt"), ("dl",)),
+    "dt": (("dd", "dt"), ("dl",)),
+    "tr": (("tr",), ("table",)),
+    "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")),
+    "option": (("option",), ("select",)),
+}
 
 
 class Node:
-    __slots__ = ("tag", "path", "out", "parent", "own", "total", "heading", "start", "end", "anchor", "up", "inside")
+    __slots__ = ("tag", "step", "key", "out", "parent", "own", "total", "heading", "start", "end", "anchor", "up", "inside", "titled")
 
-    def __init__(self, tag: str, path: str, out: bool, parent: Node | None, anchor: bool):
-        self.tag, self.path, self.out, self.parent, self.anchor = tag, path, out, parent, anchor
+    def __init__(self, tag: str, step: str, out: bool, parent: Node | None, anchor: bool):
+        self.tag, self.step, self.out, self.parent, self.anchor = tag, step, out, parent, anchor
+        self.key = _key(parent.key, step) if parent is not None else 0
         self.own, self.total, self.heading = 0, 0, False  # characters outside links: right in it, in all of it; whether a heading is right in it
         self.start, self.end = 0, 0
-        # the container around it; whether an article or main is
+        # the container around it; whether an article or main is; whether a heading is, within that container
         self.up = parent if parent is None or parent.parent is None or parent.tag in CONTAINER else parent.up
         self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
+        self.titled = tag in _HEADING or parent is not None and parent.tag not in CONTAINER and parent.titled
+
+    @property
+    def path(self) -> str:
+        steps, node = [], self
+        while node.parent is not None:
+            steps.append(node.step)
+            node = node.parent
+        return "".join(f">{x}" for x in reversed(steps))
+
+
+def _key(above: int, step: str) -> int:
+    """A number for a path: that of the path above and the last step."""
+    return (above * 0x9E3779B97F4A7C15 + zlib.crc32(step.encode()) + 1) & (1 << 64) - 1
+
+
+def _path_key(path: str) -> int:
+    key = 0
+    for step in path.split(">")[1:]:
+        key = _key(key, step)
+    return key
+
+
+def _named(name: str, words: frozenset[str]) -> bool:
+    """Whether a class or id is that of boilerplate: its words are among ``words`` or their companions, one at least among ``words``."""
+    parts = [w.lower() for w in _WORD.findall(name)]
+    return any(w in words for w in parts) and all(w in words or w in COMPANIONS for w in parts)
 
 
 def _left_out(tag: str, attributes: dict[str, str], inside: bool) -> bool:
     """Whether an element is boilerplate; ``inside`` tells that it is in an article or main."""
-    if tag in LEFT_OUT or "hidden" in attributes or attributes.get("aria-hidden") == "true":
+    if tag in LEFT_OUT:
+        return True
+    if not attributes:
+        return False
+    if "hidden" in attributes or attributes.get("aria-hidden") == "true":
         return True
     if tag not in FRAMES and attributes.get("role", "").strip().lower() in ROLES:
         return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")):
+    if "style" in attributes and _HIDDEN.search(attributes["style"]):
         return True
+    named = attributes.get("class", "").split()
+    if tag not in JUDGED:
+        return any(c.lower() in ADVERT for c in named)
     words = FRAME_WORDS if tag in FRAMES else WORDS
-    named, ids = ([w.lower() for w in _WORD.findall(attributes.get(k, ""))] for k in ("class", "id"))
-    if any(w in words for w in named):
-        return True
-    slug = inside or tag in FRAMES or tag in _HEADING
-    return any(w in words for w in ids) and not (slug and any(w not in words and w not in COMPANIONS for w in ids))
+    return any(_named(c, words) for c in named) or _named(attributes.get("id", ""), words & STRONG if inside or tag in FRAMES else words)
 
 
 def _general(tag: str, attributes: dict[str, str]) -> str:
-    classes = sorted({re.sub(r"\d+", "", c) for c in attributes.get("class", "").split()})
+    classes = sorted({re.sub(r"[\d>]+", "", c) for c in attributes.get("class", "").split()})
     return ".".join([tag, *filter(None, classes)])
 
 
@@ -102,9 +158,14 @@ class Page:
 
     def _read(self, html: str) -> None:
         stack, at, boundary = [self.top], 0, True
+        places: dict[str, list[int]] = defaultdict(list)  # of the open elements of each tag in the stack
+        blocks = [0]  # and of all open blocks
         block: list[tuple[Node, int, int]] = []
         pieces, nodes = self.pieces, self.nodes
 
+        def last(*tags: str) -> int:
+            return max((places[t][-1] for t in tags if places[t]), default=0)
+
         def add(text: str) -> None:
             nonlocal boundary
             if text:
@@ -120,90 +181,90 @@ class Page:
             nonlocal boundary
             boundary = True
             if block:
-                node, heading = block[0][0], False
-                while node.parent is not None and node.tag not in CONTAINER:
-                    heading, node = heading or node.tag in _HEADING, node.parent
+                node = block[0][0]
                 gain = sum(x[1] - x[2] for x in block)
+                heading = gain > 0 and node.tag not in CONTAINER and node.titled
+                if node.parent is not None and node.tag not in CONTAINER:
+                    node = node.up
                 node.own += gain
-                node.heading = node.heading or heading and gain > 0
+                node.heading = node.heading or heading
                 block.clear()
 
-        def pop() -> None:
-            node = stack.pop()
-            if node.tag in BLOCK:
-                close_block()
-            node.end = len(pieces)
+        def pop_to(depth: int) -> None:
+            """Close all elements from a place in the stack on."""
+            while len(stack) > depth:
+                node = stack.pop()
+                places[node.tag].pop()
+                if node.tag in BLOCK:
+                    blocks.pop()
+                    close_block()
+                node.end = len(pieces)
 
         n = len(html)
         while at < n:
-            m = _TAG.search(html, at)
-            if m is None:
-                # an unfinished tag at the end is markup
-                rest = html[at:]
-                cut_ = re.search(r"<[a-zA-Z/!?]", rest)
-                add(rest[: cut_.start()] if cut_ else rest)
+            k = html.find("<", at)
+            if k < 0:
+                add(html[at:])
                 break
-            if m.start() > at:
-                add(html[at : m.start()])
-            at = m.end()
-            tag = (m[2] or "").lower()
-            if not tag:
+            sign = html[k + 1 : k + 3]
+            if not (sign[:1].isascii() and sign[:1].isalpha() or sign[:1] in ("!", "?", "/") and sign):
+                add(html[at : k + 1])
+                at = k + 1
                 continue
+            if k > at:
+                add(html[at:k])
+            m = _TAG.match(html, k) if sign[0] not in "!?" else None
+            if m is None:
+                if sign[0] in "!?" or sign[0] == "/" and not (sign[1:].isascii() and sign[1:].isalpha()):
+                    # a comment or declaration, to the page's end if it has none itself
+                    mark = "-->" if html.startswith("<!--", k) else ">"
+                    end = html.find(mark, k + 2)
+                    at = end + len(mark) if end >= 0 else n
+                    continue
+                break  # an unfinished tag at the end is markup
+            at = m.end()
+            tag = m[2].lower()
             if m[1]:
-                if tag == "p" and all(x.tag != "p" for x in stack):
+                if tag == "p" and not places["p"]:
                     close_block()
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        while len(stack) > k:
-                            pop()
-                        break
-                    if tag not in BLOCK and stack[k].tag in BLOCK:
-                        break
+                if (depth := last(tag)) and (tag in BLOCK or depth > blocks[-1]):
+                    pop_to(depth)
                 continue
             if tag == "br":
                 add(" ")
                 continue
             if tag in BLOCK:
-                if stack[-1].tag == "p" or any(x.tag == "p" for x in stack[-3:]):
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k].tag == "p":
-                            while len(stack) > k:
-                                pop()
-                            break
-                        if stack[k].tag in BLOCK:
-                            break
+                if stack[blocks[-1]].tag == "p":
+                    pop_to(blocks[-1])
                 close_block()
-            if tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
-                stops = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}[tag]
-                same = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,))
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in stops:
-                        break
-                    if stack[k].tag in same:
-                        while len(stack) > k:
-                            pop()
-                        break
+            if tag in _ENDS:
+                same, stops = _ENDS[tag]
+                if (depth := last(*same)) > last(*stops):
+                    pop_to(depth)
             if tag in VOID:
                 continue
-            attributes = {k.lower(): unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(m[3])} if m[3].strip() else {}
+            rest = m[3].strip()
+            attributes = {k.lower(): unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(rest)} if rest else {}
             parent = stack[-1]
-            own_header = tag == "header" and any(x.tag == "article" for x in stack)
+            own_header = tag == "header" and bool(places["article"])
             out = parent.out or not own_header and _left_out(tag, attributes, parent.inside or parent.tag in ("article", "main"))
-            if tag in RAW and not m[3].rstrip().endswith("/"):
+            if tag in RAW and not rest.endswith("/"):
                 end = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
                 at = end.start() if end else n
                 continue
-            if m[3].rstrip().endswith("/") and tag not in BLOCK:
+            if rest.endswith("/") and tag not in BLOCK:
                 continue
-            node = Node(tag, f"{parent.path}>{_general(tag, attributes)}", out, parent, parent.anchor or tag == "a")
+            node = Node(tag, _general(tag, attributes), out, parent, parent.anchor or tag == "a")
             node.start = len(pieces)
             if tag in ("td", "th"):
                 add(" ")
+            places[tag].append(len(stack))
+            if tag in BLOCK:
+                blocks.append(len(stack))
             stack.append(node)
             if tag in CONTAINER and not out:
                 nodes.append(node)
-        while len(stack) > 1:
-            pop()
+        pop_to(1)
         close_block()
         self.top.end = len(pieces)
         for node in reversed(nodes):
@@ -238,7 +299,8 @@ class Page:
 
     def at(self, path: str) -> list[Node]:
         """All containers at a path in page order, or the one around them while it adds little but text of its own."""
-        found = [x for x in self.nodes if x.path == path]
+        key = _path_key(path)
+        found = [x for x in self.nodes if x.key == key]
         while found:
             ups = {id(x.up): x.up for x in found}
             wider = [up for up in ups.values() if up.tag not in ("", "body")]
@@ -285,16 +347,8 @@ def votes(pages: DataFrame) -> DataFrame:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """host and path: the path with most votes, of equals the smaller one."""
-    return votes(pages).groupBy("host").agg(F.min(F.struct((-F.col("n")).alias("n"), "path"))["path"].alias("path"))
-
-
-def _with_paths(pages: DataFrame, paths: DataFrame) -> DataFrame:
-    """Pages with their host's path: up to ``BROADCAST_ROWS`` hosts are broadcast, more are joined in ``SALTS`` parts of each host, as one may hold a third of all pages."""
-    if paths.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return pages.join(F.broadcast(paths), "host", "left")
-    dealt = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    return dealt.join(paths.select("host", "path", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), ["host", "salt"], "left")
+    """host, its number of votes and the path with most of them, of equals the smaller one."""
+    return votes(pages).groupBy("host").agg(F.sum("n").alias("n"), F.min(F.struct((-F.col("n")).alias("n"), "path"))["path"].alias("path"))
 
 
 def extract_main(pages: DataFrame) -> DataFrame:
@@ -302,7 +356,7 @@ def extract_main(pages: DataFrame) -> DataFrame:
     bounded(pages.sparkSession)
     paths = cut(host_paths(pages))
     plain = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), _host(F.col("url")).alias("host"))
-    joined = _with_paths(plain, paths).select("page_id", "url", "html", "path")
+    joined = join_named(plain, paths, "host", "n", BROADCAST_ROWS).select("page_id", "url", "html", "path")
     kind = dict(pages.dtypes)["page_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

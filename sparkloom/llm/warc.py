@@ -11,7 +11,8 @@ response, the others are revisit records that refer to it.
 
 Defined cases: null html is the empty payload; of repeated rows with the smallest page_id each is a response; a null
 page_id is larger than all others, and where all are null all are responses; a null url stays null; bytes of
-any kind may be in a payload, also gzip magic or whole records; an empty table gives no archives and no rows.
+any kind may be in a payload, also gzip magic or whole records; urls, headers and payloads may be of any length, and a
+record is held whole, one at a time; an empty table gives no archives and no rows.
 """
 
 from __future__ import annotations
@@ -27,13 +28,15 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, fresh_path, table, trimmed
+from .common import bounded, cut, fresh_path, join_named, partitions, table, trimmed
 
 LEAST_BYTES = 0
 LEVEL = 4
 RANGE_BYTES = 4 << 20
 READ_BYTES = 1 << 20
-#: First responses of repeated payloads that are broadcast to the writer; more are joined by shuffle.
+#: Most ranges that one reading task takes, once there are more than a few for each shuffle partition.
+RANGES_A_TASK = 16
+#: First responses of repeated payloads that are broadcast to the writer; of more only those of the most frequent payloads are.
 BROADCAST_ROWS = 200_000
 DATE = "1970-01-01T00:00:00Z"
 MAGIC = b"\x1f\x8b\x08"
@@ -67,9 +70,8 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     marked = plain.withColumn("digest", F.sha1("payload"))
     first = marked.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    first = cut(first.where("n > 1 AND first_id IS NOT NULL").select("digest", "first_id"))
-    small = first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    joined = marked.join(F.broadcast(first) if small else first, "digest", "left").select("page_id", "url", "payload", "digest", "first_id")
+    first = cut(first.where("n > 1 AND first_id IS NOT NULL"))
+    joined = join_named(marked, first, "digest", "n", BROADCAST_ROWS).select("page_id", "url", "payload", "digest", "first_id")
     fs, top = _open(folder)
     fs.create_dir(top, recursive=True)
 
@@ -128,7 +130,7 @@ class RangeReader:
             if not checked:
                 if not b"WARC/1.".startswith(out[:7]):
                     return None
-                # a header may be as long as its url
+                # once a record has begun, its header may be as long as its url
                 checked = len(out) >= 7
         end = at - len(inflate.unused_data)
         return (bytes(out), end) if parse(bytes(out)) is not None else None
@@ -175,7 +177,11 @@ def _id(field: str | None) -> int | None:
 
 
 def read_archives(archives: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bool = True) -> DataFrame:
-    """All records of archives (path, bytes), range by range; intact tells that the payload has the digest of its header."""
+    """All records of archives (path, bytes), range by range; intact tells that the payload has the digest of its header.
+
+    Ranges are dealt to as many tasks as there are ranges, up to a few for each shuffle partition, or one for each
+    ``RANGES_A_TASK`` ranges; the number is stated, so that adaptive execution doesn't gather small rows of ranges in one task.
+    """
     begin = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))).alias("begin")
     ranges = archives.where("bytes > 0").select("path", "bytes", begin)
 
@@ -209,7 +215,9 @@ def read_archives(archives: DataFrame, range_bytes: int = RANGE_BYTES, payloads:
         if rows:
             yield flush()
 
-    return ranges.repartition(F.col("path"), F.col("begin")).mapInArrow(trimmed(run), RECORDS)
+    n = archives.where("bytes > 0").agg(F.sum(F.ceil(F.col("bytes") / range_bytes))).first()[0] or 1
+    tasks = min(int(n), max(4 * partitions(archives.sparkSession), -(-int(n) // RANGES_A_TASK)))
+    return ranges.repartition(tasks).mapInArrow(trimmed(run), RECORDS)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

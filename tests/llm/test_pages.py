@@ -65,6 +65,23 @@ def test_warc_headers_may_be_long(tmp_path):
     assert [fields["WARC-Target-URI"] for fields, _ in got] == ["u", url, "v"]
 
 
+def test_warc_archives_are_read_by_many_tasks(spark):
+    pages = spark.createDataFrame([(i, "u" * (2 << 20) if i == 3 else f"u{i}", f"{i} " * 3000) for i in range(40)], "page_id long, url string, html string").repartition(2)
+    records = warc.read_archives(warc.write_archives(pages, fresh_path(spark, "w")), 300)
+    assert records.rdd.getNumPartitions() == 16 and records.count() == 40
+    assert {len(r["url"]) for r in records.where("page_id = 3").collect()} == {2 << 20}
+
+
+def test_warc_of_many_repeated_payloads(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, "u", "" if i % 3 else f"p{i % 6}") for i in range(60)] + [(70 + i, "u", f"q{i // 2}") for i in range(20)], "page_id long, url string, html string")
+    names = ("page_id", "record_type", "refers_to", "payload_digest")
+    read = lambda: sorted(tuple(str(r[n]) for n in names) for r in warc.read_archives(warc.write_archives(pages, fresh_path(spark, "w"))).collect())
+    want = read()
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr("sparkloom.llm.common.HEAVY", 5)
+    assert read() == want
+
+
 def test_warc_least_bytes_and_empty(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
     kinds = {r["page_id"]: r["record_type"] for r in warc.read_archives(warc.write_archives(pages, fresh_path(spark, "w"), least_bytes=3)).collect()}
@@ -112,6 +129,39 @@ def test_main_text_is_whole(page, text):
     assert html.extract(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><h2 id=related-work>R</h2><p>t</p></article>", "R\nt"),
+        ("<article><section id=search>S</section><p>b</p></article>", "S\nb"),
+        ("<article><p class=share-price>Shares rose.</p></article>", "Shares rose."),
+        ("<article><p>a <math><mi>x</mi></math> b</p></article>", "a x b"),
+        ("<article><td class=menu>m</td><p class=notice>n</p><p class=ad>buy</p><div class='comment-list'>c</div></article>", "m\nn"),
+    ],
+)
+def test_article_text_is_not_judged_by_names(page, text):
+    assert html.extract(page) == text
+
+
+@pytest.mark.parametrize(
+    "page, length",
+    [("<a " * 350_000, 0), ("<div>" * 100_000 + "x", 1), ("<div><p>t" * 50_000, 99_999), ("<b>" * 100_000 + "<p>x</p>" * 50_000, 99_999), ('<a "' * 250_000 + ">", 0), ('<a x="' * 200_000 + ">y", 1), ("<!--" * 250_000, 0), ("<li>" * 100_000 + "x", 1), ("<i><div>" + "<b>" * 100_000 + "</i>" * 100_000 + "x", 1), ("<a" + " = " * 300_000 + ">x", 1)],
+)
+def test_hostile_pages_take_linear_time_and_memory(page, length):
+    import time
+    import tracemalloc
+
+    start = time.thread_time()
+    text = html.extract(page)
+    assert len(text) == length and time.thread_time() - start < 5
+    small = page[: len(page) // 4]
+    tracemalloc.start()
+    html.extract(small)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 4 * peak < 200e6
+
+
 def test_all_containers_at_the_hosts_path(spark):
     one = lambda t: f"<body><div class=side><p>zz</p></div><div class=part><p>{t}</p></div></body>"
     more = f"<body><div class=side><p>{'z' * 90}</p></div><div class=part><p>{'a' * 200}</p></div><div class=part2><p>{'b' * 30}</p></div><div class=part><p>{'c' * 90}</p></div></body>"
@@ -134,7 +184,9 @@ def test_host_votes(spark, monkeypatch):
     assert html.extract_main(pages).count() == len(rows) and html.extract_main(pages.limit(0)).count() == 0
     whole = sorted(str(tuple(r)) for r in html.extract_main(pages).collect())
     monkeypatch.setattr(html, "BROADCAST_ROWS", 0)
-    assert sorted(str(tuple(r)) for r in html.extract_main(pages).collect()) == whole
+    for heavy in (2, 1000):
+        monkeypatch.setattr("sparkloom.llm.common.HEAVY", heavy)
+        assert sorted(str(tuple(r)) for r in html.extract_main(pages).collect()) == whole
 
 
 def test_pages_of_the_tables(spark):
