@@ -1,26 +1,27 @@
 """N-gram Jaccard join: links between documents whose sets of word shingles are similar.
 
-Points and tree. The shingles of a set are hashed into ``GROUPS`` groups; the counts by group are a
-point. Two sets share at most the sum over groups of the smaller count, and a tree node shares at most
-the sum of the smaller of its rectangle's upper corner, so an R-tree over points drops nodes and pairs
-that cannot reach the threshold. What is left is verified on the whole sets.
-
-One tree over all points cannot be spread over a cluster, and points of unrelated documents of one
-length lie close together in any few dimensions, so trees are built over blocks of documents that may
-link at all: sets with similarity s share one of their first ``n - ceil(s n) + 1`` shingles in any fixed
-order (and ``SHARED`` of the first ``SHARED - 1`` more), so documents meet by those shingles. The order puts shingles
-seen often within a window last, so passages that many documents share bring nobody together unless they make up
-most of a document. The order changes speed alone: no link is lost under any of them.
-
-Steps: (1) equal sets become one class. (2) Classes meet by their leading shingles. (3) One class
-of each meeting is compared with the others, which settles copies of one source in one go. (4) Where
-a meeting still holds several components, pairs between them are found: in larger meetings block by block through
-R-trees, in small ones by counting how often a pair met. (5) Components of all links. Pairs within a component are never enumerated;
-pairs across components all are, if their points allow a link.
-
-Defined cases: null and empty texts have the empty set and link with nothing; fewer words than a
-shingle make one shingle of the whole; repeated rows fall in one class and each keep a result row; a
-null doc_id keeps its row but never names a component; an empty table gives no rows.
+Points and trees. The shingles of a set are hashed into ``GROUPS`` groups; the counts by group are a point. Two sets share
+at most the sum over groups of the smaller count, and a set shares with anything below a tree node at most that sum
+over the node's upper corner. A search drops nodes, and at last points, that cannot reach the threshold; whatever it
+returns, and nothing else, is verified on the whole sets.
+
+The top of the tree. Corners of coarse groups bound nothing for unrelated documents of one length, whose counts are
+nearly the same, so the first levels of the tree take the finest groups there are, one for each shingle: a set goes to the
+node of each of its leading shingles, which are its first ``n - ceil(s n) + SHARED`` in an order that puts frequent ones last.
+Linked sets share ``SHARED`` leading shingles at least, so no link is lost under any order. Nodes with the same
+smallest member are one node; below it stands an R-tree over the points of its sets. A node with too many sets that
+are not linked yet is split by a second and a third leading shingle, as the pairs that link share these too; what
+stays large after that is searched in blocks.
+
+Steps: (1) equal sets become one class. (2) Classes go to their nodes. (3) Each node's tree is searched with one set, the
+pivot, which settles copies of one source in one go; while it pays, again with a pivot that is not linked yet.
+(4) The trees of nodes that hold several components still are searched with every set outside the largest one.
+(5) Components of all links. Pairs within a component are not enumerated; pairs across components all are, if their points
+allow a link.
+
+Defined cases: null and empty texts have the empty set and link with nothing; fewer words than a shingle make one
+shingle of the whole; a very long text is one set, held whole by the tasks that verify it; repeated rows fall in one class
+and each keep a result row; a null doc_id keeps its row but never names a component; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, free_name, table, trimmed, with_text
@@ -39,7 +40,7 @@ from .words import NONSPACE, chunks, mix, shingles, utf8, word_hashes
 SHINGLE = 5
 #: Threshold in hundredths: link when 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 75
-#: Groups of a point: four times as many for each step that a set reaches, so that a group stays small.
+#: Groups of a point, and finer ones for larger sets: four times as many for each step that a set reaches.
 GROUPS = 256
 STEPS = (1024, 4096, 16384)
 #: A shingle that two sets of one window share counts as frequent. Windows hold 32-bit fingerprints of shingles.
@@ -50,15 +51,21 @@ SEEN = 200_000
 #: Bound of the frequent shingles that are gathered (12 bytes each), the most frequent ones, and slots of their table (a byte each).
 MOST_FREQUENT = 2_000_000
 SLOT_BITS = 24
-#: Shingles of this rank (the bits of a count) or more go by the way for crowded meetings.
+#: Shingles of this rank (the bits of a count) or more go by the way for crowded nodes.
 CROWDED = 6
-#: How many leading shingles a linked pair must share; as many more shingles lead, so none is lost.
+#: How many leading shingles a linked pair must share; as many more shingles lead, so none is lost. Also the levels of nodes.
 SHARED = 3
-#: A meeting of up to so many sets is small.
-SMALL = 32
-#: Classes in a block of a larger meeting.
+#: Sets of a node that one search task holds, and sets that one verification task compares with another.
 BLOCK = 512
+VERIFIED_AT_ONCE = 64
+#: Rounds of searching with pivots at most; and they end when so many pairs for each set are left, or fewer than a share of them went.
+ROUNDS = 6
+PAIRS_A_SET = 8
+PAYS = 0.8
+#: Children of a tree node, rows that a task searches at once, and tree nodes that are compared at once.
 LEAF = 16
+SEARCHED_ROWS = 20_000
+COMPARED = 40_000
 #: Wanted sets (16 bytes each) that are broadcast; more are shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -80,23 +87,32 @@ def points(hashes: np.ndarray) -> np.ndarray:
     return np.bincount((hashes >> np.uint64(64 - (g.bit_length() - 1))).astype(np.int64), minlength=g)
 
 
-def packed(point: list[np.ndarray]) -> pa.Array:
-    """Points as binaries of 32-bit counts, or 8-bit ones where all are small enough (the first byte tells)."""
-    return pa.array([b"\1" + p.astype("<u1").tobytes() if p.max() < 256 else b"\4" + p.astype("<u4").tobytes() for p in point], pa.binary())
+def coarse(point: np.ndarray, g: int = GROUPS) -> np.ndarray:
+    return point if len(point) == g else point.reshape(g, -1).sum(1)
 
 
-def unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<u1" if raw[0] == 1 else "<u4", offset=1).astype(np.int32)
+def packed(point: np.ndarray) -> bytes:
+    """A point as 8-bit counts, or 32-bit ones where a count needs them; the length tells which."""
+    return point.astype("<u1" if point.max() < 256 else "<u4").tobytes()
 
 
-def coarse(point: np.ndarray, g: int = GROUPS) -> np.ndarray:
-    return point if len(point) == g else point.reshape(g, -1).sum(1)
+def unpacked(raw: list[bytes], g: int = GROUPS) -> np.ndarray:
+    """Points of g groups as rows."""
+    if all(len(x) == g for x in raw):
+        return np.frombuffer(b"".join(raw), np.uint8).reshape(-1, g)
+    return np.stack([np.frombuffer(x, "<u1" if len(x) == g else "<u4").astype(np.uint32) for x in raw])
 
 
-def most_shared(p: np.ndarray, q: np.ndarray) -> int:
+def most_shared(p: bytes, n_p: int, q: bytes, n_q: int) -> int:
     """What two sets share at most, in the finest groups both have."""
-    g = min(len(p), len(q))
-    return int(np.minimum(coarse(p, g), coarse(q, g)).sum())
+    g, h = groups(n_p), groups(n_q)
+    a, b = unpacked([p], g)[0].astype(np.int64), unpacked([q], h)[0].astype(np.int64)
+    return int(np.minimum(coarse(a, min(g, h)), coarse(b, min(g, h))).sum())
+
+
+def least_shared(threshold: int = THRESHOLD) -> int:
+    """What two different sets that link share at least: 100 s >= threshold (s + 1). The smaller of them may be no more than that."""
+    return -(-threshold // (100 - threshold)) if threshold < 100 else 1 << 62
 
 
 def leading(n: int, threshold: int = THRESHOLD) -> int:
@@ -114,7 +130,7 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int, column: int = 1) -> Iter
 
 
 def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """kind 0: doc_id, set id, set size, point and text's hash of every row. kind 1: fingerprint of a shingle often seen in a window, and how often."""
+    """kind 0: doc_id, set id, set size, point, finer point (of larger sets) and text's hash of every row. kind 1: fingerprint of a shingle often seen in a window, and how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -128,11 +144,14 @@ def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             head = np.flatnonzero(np.append(True, marks[1:] != marks[:-1]))
             count = np.diff(np.append(head, len(marks)))
             value, count = marks[head[count >= OFTEN]], count[count >= OFTEN]
-            return _rows(np.ones(len(value), np.int32), pa.nulls(len(value), pa.int64()), value.astype(np.int64), count, pa.nulls(len(value), pa.binary()), pa.nulls(len(value), pa.int64()))
+            none = pa.nulls(len(value), pa.binary())
+            return _rows(np.ones(len(value), np.int32), pa.nulls(len(value), pa.int64()), value.astype(np.int64), count, none, none, pa.nulls(len(value), pa.int64()))
 
         for batch, i, sets in _sets(batches, size):
             ids = [set_id(s) for s in sets]
-            yield _rows(np.zeros(len(sets), np.int32), batch.column(0).slice(i, len(sets)), np.array(ids, np.int64), np.array([len(s) for s in sets], np.int64), packed([points(s) for s in sets]), batch.column(2).slice(i, len(sets)))
+            own = [points(s) for s in sets]
+            point, fine = pa.array([packed(coarse(p)) for p in own], pa.binary()), pa.array([packed(p) if len(p) > GROUPS else None for p in own], pa.binary())
+            yield _rows(np.zeros(len(sets), np.int32), batch.column(0).slice(i, len(sets)), np.array(ids, np.int64), np.array([len(s) for s in sets], np.int64), point, fine, batch.column(2).slice(i, len(sets)))
             for x, s in zip(ids, sets, strict=True):
                 if x not in seen and len(s):
                     seen.add(x)
@@ -146,15 +165,15 @@ def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         if window:
             yield often()
 
-    return with_text(docs).withColumn("mark", F.xxhash64("text")).mapInArrow(trimmed(run), "kind int, doc_id long, id long, n long, point binary, mark long")
+    return with_text(docs).withColumn("mark", F.xxhash64("text")).mapInArrow(trimmed(run), "kind int, doc_id long, id long, n long, point binary, fine binary, mark long")
 
 
 def fingerprints(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(32)).astype(np.uint32)
 
 
-def _rows(kind, doc, value, n, point, mark) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), doc, pa.array(value, pa.int64()), pa.array(n, pa.int64()), point, mark], names=["kind", "doc_id", "id", "n", "point", "mark"])
+def _rows(kind, doc, value, n, point, fine, mark) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), doc, pa.array(value, pa.int64()), pa.array(n, pa.int64()), point, fine, mark], names=["kind", "doc_id", "id", "n", "point", "fine", "mark"])
 
 
 def frequency_ranks(rows: DataFrame, most: int | None = None) -> np.ndarray:
@@ -187,15 +206,15 @@ def in_order(hashes: np.ndarray, ranks: np.ndarray, k: int) -> tuple[np.ndarray,
 
 
 def meetings(docs: DataFrame, ranks: np.ndarray, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """sig, sid, crowded: the leading shingles of each different set, once for each task that sees it."""
+    """sig, sid, crowded: the leading shingles of each different set that can link, once for each task that sees it."""
     spread = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_, seen = spread.value, set()
+        table_, seen, least = spread.value, set(), least_shared(threshold)
         for _, _, sets in _sets(batches, size):
             sig, sid, rank = [], [], []
             for s in sets:
-                if not len(s) or (x := set_id(s)) in seen:
+                if len(s) < least or (x := set_id(s)) in seen:
                     continue
                 seen.add(x)
                 first, r = in_order(s, table_, leading(len(s), threshold))
@@ -210,77 +229,52 @@ def meetings(docs: DataFrame, ranks: np.ndarray, size: int = SHINGLE, threshold:
     return with_text(docs).mapInArrow(trimmed(run), "sig long, sid long, crowded boolean")
 
 
-def _pivot_rank(sid: np.ndarray, sig: np.ndarray) -> np.ndarray:
-    """An order of a meeting's members that differs from meeting to meeting."""
-    return mix(sid.view(np.uint64) ^ mix(sig.view(np.uint64)))
-
-
-def _companions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition that holds whole meetings: the members of those with two sets or more, and the pivot of each."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-    if not parts:
-        return
-    sig, sid = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(sig)
-    shared = sig[order]
-    again = np.append(shared[1:] == shared[:-1], False)
-    again[1:] |= again[:-1]
-    sig, sid = shared[again], sid[order[again]]
-    if not len(sig):
-        return
-    order = np.lexsort((_pivot_rank(sid, sig), sig))
-    sig, sid = sig[order], sid[order]
-    new = np.append(True, (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1]))
-    sig, sid = sig[new], sid[new]
-    head = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-    count = np.diff(np.append(head, len(sig)))
-    keep = np.repeat(count > 1, count)
-    pivot = np.repeat(sid[head], count)
-    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (sig, sid, pivot)], names=["sig", "sid", "pivot"])
-
-
 def fits_broadcast(df: DataFrame) -> bool:
     return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
 def companions(met: DataFrame) -> DataFrame:
-    """sig, sid, pivot and crowded of all meetings of two different sets or more.
+    """sig, sid and pivot (the smallest sid) of the nodes of two different sets or more.
 
-    A crowded shingle can hold a large part of all sets: the pivot of its meeting comes from a partial aggregate, so
+    A crowded shingle can hold a large part of all sets: the pivot of its node comes from a partial aggregate, so
     that its members are never dealt out by shingle while the pivots fit a broadcast. All others are dealt by shingle.
     """
-    dealt = met.where("NOT crowded").select("sig", "sid").repartition("sig").mapInArrow(trimmed(_companions), "sig long, sid long, pivot long")
+    of_sig = Window.partitionBy("sig")
+    dealt = met.where("NOT crowded").select("sig", "sid", F.min("sid").over(of_sig).alias("pivot"), F.max("sid").over(of_sig).alias("top"))
     crowd = met.where("crowded").select("sig", "sid")
-    by_sig = crowd.groupBy("sig").agg(F.min(F.struct(F.xxhash64("sid", "sig").alias("r"), "sid"))["sid"].alias("pivot"), F.min("sid").alias("low"), F.max("sid").alias("top"))
-    pivots = cut(by_sig.where("low <> top").select("sig", "pivot"))
-    met = crowd.join(F.broadcast(pivots) if fits_broadcast(pivots) else pivots, "sig").select("sig", "sid", "pivot").distinct()
-    return dealt.withColumn("crowded", F.lit(False)).unionByName(met.withColumn("crowded", F.lit(True)))
+    by_sig = crowd.groupBy("sig").agg(F.min("sid").alias("pivot"), F.max("sid").alias("top"))
+    pivots = cut(by_sig.where("pivot <> top").select("sig", "pivot"))
+    crowd = crowd.join(F.broadcast(pivots) if fits_broadcast(pivots) else pivots, "sig").select("sig", "sid", "pivot").distinct()
+    return dealt.where("pivot <> top").select("sig", "sid", "pivot").unionByName(crowd)
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """task, sid and hashes of the wanted sets (doc_id, mark, sid, task), from their documents' texts.
+    """task, hub, sid and hashes of the wanted sets (doc_id, mark, sid, task, hub), from their documents' texts.
 
     Up to ``BROADCAST_ROWS`` wanted rows are broadcast to the texts; more are joined by shuffle. A task that reads
     a wanted text again emits it once.
     """
     texts = with_text(docs).withColumn("mark", F.xxhash64("text"))
-    named = wanted.select(F.col("doc_id").alias("of"), F.col("mark").alias("with"), "sid", "task")
-    joined = texts.join(F.broadcast(named) if fits_broadcast(wanted) else named, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("with"))).select("sid", "text", "task")
+    named = wanted.select(F.col("doc_id").alias("of"), F.col("mark").alias("with"), "sid", "task", "hub")
+    joined = texts.join(F.broadcast(named) if fits_broadcast(wanted) else named, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("with"))).select("sid", "text", "task", "hub")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch, i, sets in _sets(batches, size):
-            ids, tasks = (batch.column(c).slice(i, len(sets)).to_pylist() for c in (0, 2))
+            ids, tasks, hubs = (batch.column(c).slice(i, len(sets)).to_pylist() for c in (0, 2, 3))
             own = []
-            for x, t, s in zip(ids, tasks, sets, strict=True):
+            for x, t, hub, s in zip(ids, tasks, hubs, sets, strict=True):
                 if (x, t) not in seen and set_id(s) == x:
                     seen.add((x, t))
-                    own.append((x, t, np.sort(s.view(np.int64))))
+                    own.append((x, t, hub, np.sort(s.view(np.int64))))
+            if len(seen) > SEEN:
+                seen.clear()
             off = np.concatenate([[0], np.cumsum([len(s) for *_, s in own])]).astype(np.int32)
             flat = np.concatenate([s for *_, s in own]) if own else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([t for _, t, _ in own], pa.int64()), pa.array([x for x, *_ in own], pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], names=["task", "sid", "hashes"])
+            lists = pa.ListArray.from_arrays(pa.array(off), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([pa.array([t for _, t, *_ in own], pa.int64()), pa.array([h for _, _, h, _ in own], pa.bool_()), pa.array([x for x, *_ in own], pa.int64()), lists], names=["task", "hub", "sid", "hashes"])
 
-    return joined.mapInArrow(trimmed(run), "task long, sid long, hashes array<long>")
+    return joined.mapInArrow(trimmed(run), "task long, hub boolean, sid long, hashes array<long>")
 
 
 def reaches(shared, n_a, n_b, threshold: int = THRESHOLD):
@@ -288,22 +282,33 @@ def reaches(shared, n_a, n_b, threshold: int = THRESHOLD):
     return shared * (100 + threshold) >= (n_a + n_b) * threshold
 
 
-class RTree:
-    """Points packed into leaves by recursive tiling, and inner nodes with the upper corners of what they hold."""
+class Forest:
+    """R-trees over the points of many nodes at once. Rows of a node stand together; a node's root has the node's number in the top level."""
 
-    def __init__(self, point: np.ndarray, size: np.ndarray, leaf: int = LEAF):
-        self.order = self._tile(point, np.lexsort((point[:, 0], size)), 0, leaf)
+    def __init__(self, node: np.ndarray, point: np.ndarray, size: np.ndarray, leaf: int = LEAF):
+        head = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.zeros(0, np.int64)
+        self.order = np.arange(len(node))
+        for a, b in zip(head.tolist(), np.append(head[1:], len(node)).tolist(), strict=True):
+            if b - a > leaf:
+                rows = np.arange(a, b)
+                self.order[a:b] = self._tiled(point, rows[np.argsort(size[a:b], kind="stable")], leaf)
         self.point, self.size = point[self.order], size[self.order]
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        #: corner, smallest and largest size, first child and one past the last, from the leaves up
+        self.levels: list[tuple[np.ndarray, ...]] = []
         corner, low, high = self.point, self.size, self.size
-        while len(corner) > 1:
-            cuts = np.arange(0, len(corner), leaf)
-            corner, low, high = np.maximum.reduceat(corner, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)
-            self.levels.append((corner, low, high))
-        self.leaf = leaf
+        while len(head) and (not self.levels or len(corner) > len(head)):
+            run = np.diff(np.append(head, len(corner)))
+            count = -(-run // leaf)
+            place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            first = np.repeat(head, count) + leaf * place
+            last = np.minimum(first + leaf, np.repeat(head + run, count))
+            corner, low, high = np.maximum.reduceat(corner, first), np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
+            self.levels.append((corner, low, high, first, last))
+            head = np.cumsum(count) - count
 
     @staticmethod
-    def _tile(point: np.ndarray, rows: np.ndarray, axis: int, leaf: int) -> np.ndarray:
+    def _tiled(point: np.ndarray, rows: np.ndarray, leaf: int) -> np.ndarray:
+        """Rows in the order of the leaves: halves along the widest group, again and again."""
         if len(rows) <= leaf:
             return rows
         widest = int(np.argmax(point[rows].max(0) - point[rows].min(0)))
@@ -311,212 +316,198 @@ class RTree:
         half = -(-len(rows) // (2 * leaf)) * leaf
         if half >= len(rows):
             return rows
-        return np.concatenate([RTree._tile(point, rows[:half], axis + 1, leaf), RTree._tile(point, rows[half:], axis + 1, leaf)])
-
-    def query(self, q: np.ndarray, n: int, threshold: int) -> np.ndarray:
-        """Rows whose point allows a link with a set of n shingles at point q."""
-        nodes = np.zeros(1, np.int64)
-        widths = [len(self.point), *(len(c) for c, _, _ in self.levels)]
-        for below, (corner, low, high) in zip(reversed(widths[:-1]), reversed(self.levels), strict=True):
-            c = corner[nodes]
-            most = np.minimum(np.minimum(c, q).sum(1), np.minimum(high[nodes], n))
-            # the sizes that a set in this node can have at best: from low to high
-            nodes = nodes[reaches(most, n, low[nodes], threshold)]
-            if not len(nodes):
-                return nodes
-            nodes = (nodes[:, None] * self.leaf + np.arange(self.leaf)).ravel()
-            nodes = nodes[nodes < below]
-        shared = np.minimum(self.point[nodes], q).sum(1)
-        return self.order[nodes[reaches(shared, n, self.size[nodes], threshold)]]
-
-
-def _by_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of whole tasks, from batches sorted by task."""
-    held: pa.Table | None = None
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        held = t if held is None else pa.concat_tables([held, t])
-        task = held.column("task").to_numpy()
-        last = int(np.searchsorted(task, task[-1], side="left")) if len(task) else 0
-        if last:
-            yield held.slice(0, last)
-            held = held.slice(last)
-    if held is not None and held.num_rows:
-        yield held
-
-
-def _heads(task: np.ndarray) -> list[tuple[int, int]]:
-    at = np.append(np.flatnonzero(np.append(True, task[1:] != task[:-1])), len(task)).tolist()
-    return list(zip(at[:-1], at[1:], strict=True))
-
-
-def _block_pairs(threshold: int):
-    """Of partitions sorted by task: pairs of different components that their points let link, each in the first meeting of both alone."""
-
-    def pairs(sig: int, sigs: list[set[int]], side: np.ndarray, comp: np.ndarray, n: np.ndarray, point: np.ndarray, raw: list[bytes], inner: bool) -> tuple[np.ndarray, np.ndarray]:
-        left = np.arange(len(n)) if inner else np.flatnonzero(side == 0)
-        right = np.arange(len(n)) if inner else np.flatnonzero(side == 1)
-        a, b = [], []
-        if len(right) == 0 or len(left) == 0:
+        return np.concatenate([Forest._tiled(point, rows[:half], leaf), Forest._tiled(point, rows[half:], leaf)])
+
+    def search(self, node: np.ndarray, point: np.ndarray, size: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+        """For queries on nodes' trees: (query, row) wherever the minima of their counts allow a link."""
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        todo = [(len(self.levels) - 1, np.arange(len(node)), node)] if len(node) else []
+        while todo:
+            level, q, at = todo.pop()
+            if len(q) > COMPARED:
+                todo += [(level, q[i : i + COMPARED], at[i : i + COMPARED]) for i in range(0, len(q), COMPARED)]
+                continue
+            corner, low, high = self.levels[level][:3] if level >= 0 else (self.point, self.size, self.size)
+            most = np.minimum(np.minimum(corner[at], point[q]).sum(1, dtype=np.int64), np.minimum(high[at], size[q]))
+            # of the sizes below a node, the smallest is the easiest to link with
+            ok = reaches(most, size[q], low[at], threshold)
+            q, at = q[ok], at[ok]
+            if level < 0:
+                found.append((q, self.order[at]))
+            elif len(q):
+                first, last = self.levels[level][3][at], self.levels[level][4][at]
+                count = last - first
+                step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                todo.append((level - 1, np.repeat(q, count), np.repeat(first, count) + step))
+        if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        tree = RTree(point[right], n[right]) if len(right) > 2 * LEAF else None
-        for i in left.tolist():
-            if tree is None:
-                hits = right[reaches(np.minimum(point[right], point[i]).sum(1), n[i], n[right], threshold)]
-            else:
-                hits = right[tree.query(point[i], int(n[i]), threshold)]
-            hits = hits[comp[hits] != comp[i]]
-            if inner:
-                hits = hits[hits > i]
-            if len(hits):
-                hits = hits[[min(sigs[i] & sigs[k]) == sig for k in hits.tolist()]]
-            if n[i] >= STEPS[0] and len(hits):
-                own = unpacked(raw[i])
-                hits = hits[[bool(reaches(most_shared(own, unpacked(raw[k])), n[i], n[k], threshold)) for k in hits.tolist()]]
-            if len(hits):
-                a.append(np.full(len(hits), i))
-                b.append(hits)
-        return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return np.concatenate([q for q, _ in found]), np.concatenate([r for _, r in found])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _by_task(batches):
-            task, side, sid, comp, n = (t.column(c).to_numpy() for c in ("task", "side", "sid", "comp", "n"))
-            raw, sig, sigs = t.column("point").to_pylist(), t.column("sig").to_pylist(), list(map(set, t.column("sigs").to_pylist()))
-            point = np.stack([coarse(unpacked(x)) for x in raw])
-            a, b = [], []
-            for i, j in _heads(task):
-                x, y = pairs(sig[i], sigs[i:j], side[i:j], comp[i:j], n[i:j], point[i:j], raw[i:j], bool((side[i:j] == 2).all()))
-                a.append(sid[i:j][x])
-                b.append(sid[i:j][y])
-            a, b = np.concatenate(a), np.concatenate(b)
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-    return run
+def _whole_tasks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Tables of whole tasks, of about so many rows, from batches sorted by task."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows and batch.column(0)[0].as_py() != batch.column(0)[-1].as_py():
+            last = int(np.searchsorted(task := batch.column(0).to_numpy(), task[-1], side="left"))
+            yield pa.Table.from_batches([*held[:-1], batch.slice(0, last)])
+            held = [batch.slice(last)]
+    if held:
+        yield pa.Table.from_batches(held)
 
 
-def allowed(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) that their points let link; sizes and, if it is known, how often they met (met) are looked at first."""
-    side = lambda c, *names: classes.select(F.col("sid").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in names])
-    sized = pairs.join(side("a", "n"), "a").join(side("b", "n"), "b").where(reaches(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b"), threshold))
-    if "met" in pairs.columns:
-        least = lambda n: F.ceil(F.col(n) * threshold / 100)
-        sized = sized.where(F.col("met") >= F.least(F.lit(SHARED), least("n_a"), least("n_b")))
-    both = sized.select("a", "b").join(side("a", "n", "point"), "a").join(side("b", "n", "point"), "b").select("a", "b", "n_a", "n_b", "point_a", "point_b")
+def _searched(threshold: int):
+    """Of partitions sorted by task: a task's held sets make a tree, which is searched with the sets that ask; other components' alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            most = np.array([most_shared(unpacked(p), unpacked(q)) for p, q in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
-            ok = reaches(most, batch.column(2).to_numpy(), batch.column(3).to_numpy(), threshold)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
+        for t in _whole_tasks(batches, SEARCHED_ROWS):
+            task, sid, comp, n = (t.column(c).to_numpy() for c in ("task", "sid", "comp", "n"))
+            asks, held = (t.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "held"))
+            point, fine = unpacked(t.column("point").to_pylist()), t.column("fine")
+            of = np.flatnonzero(held)
+            trees, at = np.unique(task[of], return_index=True)
+            forest = Forest(task[of], point[of], n[of])
+            query = np.flatnonzero(asks & np.isin(task, trees))
+            q, r = forest.search(np.searchsorted(trees, task[query]), point[query], n[query], threshold)
+            q, r = query[q], of[r]
+            # of two sets that ask each other, the first asks
+            keep = (comp[q] != comp[r]) & ((sid[q] < sid[r]) | ~asks[r])
+            q, r = q[keep], r[keep]
+            large = np.flatnonzero((n[q] >= STEPS[0]) & (n[r] >= STEPS[0]))
+            if len(large):
+                ok = np.ones(len(q), bool)
+                ok[large] = [bool(reaches(most_shared(fine[int(x)].as_py(), int(n[x]), fine[int(y)].as_py(), int(n[y])), n[x], n[y], threshold)) for x, y in zip(q[large], r[large], strict=True)]
+                q, r = q[ok], r[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(sid[q]), pa.array(sid[r])], names=["hub", "sid"])
+
+    return run
 
-    return both.mapInArrow(trimmed(run), "a long, b long")
 
+def searched(rows: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (hub, sid) that the trees of rows (task, asks, held, sid, comp) return."""
+    dealt = rows.join(classes.select("sid", "n", "point", "fine"), "sid").select("task", "asks", "held", "sid", "comp", "n", "point", "fine")
+    return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(trimmed(_searched(threshold)), "hub long, sid long").distinct()
 
-def _spanning(threshold: int):
-    """Of partitions sorted by task and kind: links that join what a task's earlier links have not joined yet."""
+
+def _links(threshold: int):
+    """Of partitions sorted by task, its hub first: the sets that link with the hub. Only the hub is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _by_task(batches):
-            task, kind, a, b = (t.column(c).to_numpy() for c in ("task", "kind", "a", "b"))
-            hashes = t.column("hashes").combine_chunks()
-            out_a, out_b = [], []
-            for i, j in _heads(task):
-                k = i + int((kind[i:j] == 0).sum())
-                sets = {x: hashes[i + r].values.to_numpy() for r, x in enumerate(a[i:k].tolist())}
-                up = {x: x for x in sets}
-
-                def root(x, up=up):
-                    while up[x] != x:
-                        up[x] = x = up[up[x]]
-                    return x
-
-                for x, y in zip(a[k:j].tolist(), b[k:j].tolist(), strict=True):
-                    if x not in sets or y not in sets or (p := root(x)) == (q := root(y)):
-                        continue
-                    s, r = sets[x], sets[y]
-                    at = np.minimum(np.searchsorted(s, r), len(s) - 1)
-                    if reaches(int((s[at] == r).sum()), len(s), len(r), threshold):
-                        up[max(p, q)] = min(p, q)
-                        out_a.append(x)
-                        out_b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+        of, name, own = None, 0, np.zeros(0, np.int64)
+        for batch in batches:
+            hashes = batch.column(3)
+            begin = hashes.offsets.to_numpy()
+            flat = hashes.values.to_numpy()
+            a, b = [], []
+            for i, (task, hub, sid) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                s = flat[begin[i] : begin[i + 1]]
+                if hub:
+                    of, name, own = task, sid, s
+                elif task == of:
+                    at = np.minimum(np.searchsorted(own, s), len(own) - 1)
+                    if reaches(int((own[at] == s).sum()), len(own), len(s), threshold):
+                        a.append(name)
+                        b.append(sid)
+            own = own.copy()  # not the whole batch
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, threshold: int, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) among the pairs, enough of them to join whatever the pairs that link do.
-
-    Pairs that hang together are verified together, in blocks: a task reads the sets of at most two blocks once,
-    however many pairs it has, and skips pairs it has joined already.
-    """
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, threshold: int) -> DataFrame:
+    """Links (a, b) among pairs (hub, sid). A task compares one hub with up to about ``VERIFIED_AT_ONCE`` sets, however many the hub has."""
     pairs = cut(pairs)
-    family = cut(components(pairs))
-    sizes = family.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    placed = family.join(sizes, "component").select("vertex", "component", F.pmod(F.xxhash64("vertex"), F.ceil(F.col("size") / block)).alias("blk"))
-    tasked = pairs.join(placed.select(F.col("vertex").alias("a"), "component", F.col("blk").alias("i")), "a").join(placed.select(F.col("vertex").alias("b"), F.col("blk").alias("j")), "b")
-    tasked = cut(tasked.select("a", "b", F.xxhash64("component", F.least("i", "j"), F.greatest("i", "j")).alias("task")))
-    need = tasked.select("task", F.col("a").alias("sid")).unionByName(tasked.select("task", F.col("b").alias("sid"))).distinct()
-    wanted = cut(need.join(classes.select("sid", "doc_id", "mark"), "sid").select("doc_id", "mark", "sid", "task"))
-    held = whole_sets(docs, wanted, size).select("task", F.lit(0).alias("kind"), F.col("sid").alias("a"), F.lit(0).cast("long").alias("b"), "hashes")
-    rows = held.unionByName(tasked.select("task", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("array<long>").alias("hashes")))
-    return rows.repartition("task").sortWithinPartitions("task", "kind", "a", "b").mapInArrow(trimmed(_spanning(threshold)), "a long, b long")
-
-
-def pivot_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of a meeting's pivot and another member. Those that met but once, in no crowd, are left to ``cross_pairs``, which sees all meetings."""
-    pairs = members.where("sid <> pivot").groupBy(F.least("pivot", "sid").alias("a"), F.greatest("pivot", "sid").alias("b"))
-    return pairs.agg(F.count(F.lit(1)).alias("met"), F.bool_or("crowded").alias("crowded")).where("met > 1 OR crowded").select("a", "b")
-
-
-def open_meetings(members: DataFrame, label: DataFrame) -> DataFrame:
-    """sig, sid, comp, probe, n_probe and n_main of the meetings that hold several components still; probes are outside the first set's."""
-    named = members.join(label.withColumnRenamed("vertex", "sid"), "sid", "left").select("sig", "sid", F.coalesce("component", "sid").alias("comp"))
-    by_sig = named.groupBy("sig").agg(F.min(F.struct("sid", "comp"))["comp"].alias("own"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig", "own")
-    some = named.join(by_sig, "sig").select("sig", "sid", "comp", (F.col("comp") != F.col("own")).alias("probe"))
-    counts = some.groupBy("sig").agg(F.sum(F.col("probe").cast("long")).alias("n_probe"), F.sum((~F.col("probe")).cast("long")).alias("n_main"))
-    return cut(some.join(counts, "sig"))
-
-
-def pairs_of_small(meetings_: DataFrame) -> DataFrame:
-    """a, b and met: pairs of different components in meetings of up to ``SMALL`` sets, and in how many they met."""
-    held = meetings_.groupBy("sig").agg(F.collect_list(F.struct("sid", "comp")).alias("m"))
-    later = lambda x: F.filter("m", lambda y: (y["sid"] > x["sid"]) & (y["comp"] != x["comp"]))
-    pairs = F.flatten(F.transform("m", lambda x: F.transform(later(x), lambda y: F.struct(x["sid"].alias("a"), y["sid"].alias("b")))))
-    return held.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("met"))
-
-
-def pairs_of_large(meetings_: DataFrame, classes: DataFrame, threshold: int, block: int | None = None) -> DataFrame:
-    """a, b: pairs of different components in larger meetings that their points let link.
-
-    Probes and the others are cut in blocks; every block of probes meets every block of either, each in a task of its
-    own with an R-tree, so no task holds more than two blocks. A pair that met more than once comes from one meeting alone.
-    """
-    block = block or BLOCK
-    dealt = meetings_.withColumns({"np": F.ceil(F.col("n_probe") / block), "nm": F.ceil(F.col("n_main") / block)})
-    at = dealt.withColumn("blk", F.pmod(F.xxhash64("sid"), F.when(F.col("probe"), F.col("np")).otherwise(F.col("nm"))))
-    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    main = at.where("NOT probe").select("sid", "comp", "sig", F.lit("m").alias("what"), F.explode(upto(F.col("np"))).alias("i"), F.col("blk").alias("j"), F.lit(1).alias("side"))
-    probe_main = at.where("probe AND nm > 0").select("sid", "comp", "sig", F.lit("m").alias("what"), F.col("blk").alias("i"), F.explode(upto(F.col("nm"))).alias("j"), F.lit(0).alias("side"))
-    probe = at.where("probe AND n_probe > 1").select("sid", "comp", "sig", F.col("blk"), F.explode(upto(F.col("np"))).alias("k"))
-    probe = probe.select("sid", "comp", "sig", F.lit("p").alias("what"), F.least("blk", "k").alias("i"), F.greatest("blk", "k").alias("j"), F.when(F.col("blk") == F.col("k"), 2).when(F.col("blk") < F.col("k"), 0).otherwise(1).alias("side"))
-    rows = main.unionByName(probe_main).unionByName(probe)
-    # a set's own larger meetings: at most as many as it has leading shingles
-    own = meetings_.groupBy("sid").agg(F.collect_set("sig").alias("sigs"))
-    tasks = rows.select("sid", "comp", "side", "sig", F.xxhash64("sig", "what", "i", "j").alias("task")).join(classes.select("sid", "n", "point").join(own, "sid"), "sid")
-    dealt_out = tasks.select("task", "side", "sid", "comp", "n", "point", "sig", "sigs").repartition("task").sortWithinPartitions("task")
-    return dealt_out.mapInArrow(trimmed(_block_pairs(threshold)), "a long, b long").distinct()
-
-
-def cross_pairs(members: DataFrame, label: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of different components within a meeting that their points let link.
-
-    A linked pair met in a larger meeting, or in at least ``SHARED`` small ones.
-    """
-    some = open_meetings(members, label)
-    small = F.col("n_probe") + F.col("n_main") <= SMALL
-    return allowed(pairs_of_small(some.where(small)), classes, threshold).unionByName(pairs_of_large(some.where(~small), classes, threshold)).distinct()
+    many = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / VERIFIED_AT_ONCE).alias("tasks"))
+    task = F.xxhash64("hub", F.pmod(F.xxhash64("sid"), F.col("tasks")))
+    # the hub's other sets are dealt over its tasks
+    tasked = cut(pairs.join(F.broadcast(many) if fits_broadcast(many) else many, "hub").select("hub", "sid", task.alias("task")))
+    need = tasked.select("task", "sid", F.lit(False).alias("hub")).unionByName(tasked.select("task", F.col("hub").alias("sid"), F.lit(True).alias("hub")).distinct())
+    wanted = cut(need.join(classes.select("sid", "doc_id", "mark"), "sid").select("doc_id", "mark", "sid", "task", "hub"))
+    rows = whole_sets(docs, wanted, size).repartition("task").sortWithinPartitions("task", F.desc("hub"))
+    return rows.mapInArrow(trimmed(_links(threshold)), "a long, b long")
+
+
+def open_nodes(nodes: DataFrame, label: DataFrame | None, salt: int) -> tuple[DataFrame, DataFrame]:
+    """Of the nodes (key, sid) that hold several components: key, sid, comp; and key, main (the largest component), total, probes (sets outside of it) and a pivot among these."""
+    named = nodes.select("key", "sid", F.col("sid").alias("comp"))
+    if label is not None:
+        named = cut(nodes.join(label.select(F.col("vertex").alias("sid"), "component"), "sid", "left").select("key", "sid", F.coalesce("component", "sid").alias("comp")))
+    parts = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64(F.lit(salt), "sid").alias("r"), "sid"))["sid"].alias("one"))
+    keys = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("top.comp").alias("main"), "total", (F.col("total") - F.col("top.n")).alias("probes"))
+    pivots = parts.join(keys.select("key", "main"), "key").where("comp <> main").groupBy("key").agg(F.max(F.struct("n", "comp", "one")).alias("p")).select("key", F.col("p.one").alias("pivot"), F.col("p.comp").alias("pivot_comp"))
+    return named, cut(keys.join(pivots, "key"))
+
+
+def _upto(n: Column) -> Column:
+    return F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)
+
+
+def pivot_rows(named: DataFrame, keys: DataFrame) -> DataFrame:
+    """Search rows: each open node's pivot asks its tree, in tasks of ``BLOCK`` sets."""
+    blocks = F.ceil(F.col("total") / BLOCK)
+    task = lambda i: F.xxhash64("key", i).alias("task")
+    held = named.join(keys, "key").where("comp <> pivot_comp").select(task(F.pmod(F.xxhash64("sid"), blocks)), F.lit(False).alias("asks"), F.lit(True).alias("held"), "sid", "comp")
+    asks = keys.select("key", "pivot", "pivot_comp", F.explode(_upto(blocks)).alias("i")).select(task(F.col("i")), F.lit(True).alias("asks"), F.lit(False).alias("held"), F.col("pivot").alias("sid"), F.col("pivot_comp").alias("comp"))
+    return held.unionByName(asks)
+
+
+def _block_rows(named: DataFrame, keys: DataFrame) -> DataFrame:
+    """Search rows: all sets outside a node's largest component ask its tree, which is held in tasks of ``BLOCK`` sets."""
+    blocks = F.ceil(F.col("total") / BLOCK)
+    rows = named.join(keys.select("key", "main", "total"), "key").withColumns({"asks": F.col("comp") != F.col("main"), "own": F.pmod(F.xxhash64("sid"), blocks), "blocks": blocks})
+    spread = F.when(F.col("asks"), _upto(F.col("blocks"))).otherwise(F.array("own"))
+    return rows.select("key", "sid", "comp", "asks", "own", F.explode(spread).alias("i")).select(F.xxhash64("key", "i").alias("task"), "asks", (F.col("own") == F.col("i")).alias("held"), "sid", "comp")
+
+
+def probe_rows(members: DataFrame, nodes: DataFrame, label: DataFrame | None, threshold: int) -> DataFrame:
+    """Search rows of all open nodes. Those with more than ``BLOCK`` sets that ask are split by one, two and three leading shingles."""
+    levels, rows = min(SHARED, least_shared(threshold)), None
+    deep = nodes.select("key", "sid", F.array().cast("array<long>").alias("path"))
+    shingles_ = members.select("sid", "sig").distinct()
+    for level in range(levels + 1):
+        named, keys = open_nodes(deep.select("key", "sid").distinct(), label, 0)
+        crowded = F.col("probes") > BLOCK if level < levels else F.lit(False)
+        found = _block_rows(named, keys.where(~crowded))
+        rows = found if rows is None else rows.unionByName(found)
+        hot = cut(keys.where(crowded).select("key"))
+        if hot.isEmpty():
+            break
+        below = deep.join(F.broadcast(hot) if fits_broadcast(hot) else hot, "key").select("sid", "path").distinct()
+        path = F.array_sort(F.concat("path", F.array("sig")))
+        deep = below.join(shingles_, "sid").where(~F.array_contains("path", F.col("sig"))).select("sid", path.alias("path")).distinct()
+        # shingles of one set alone go at once
+        several = deep.groupBy("path").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("path")
+        deep = cut(deep.join(several, "path").select(F.xxhash64("path").alias("key"), "sid", "path"))
+    return rows
+
+
+def class_links(docs: DataFrame, members: DataFrame, classes: DataFrame, size: int, threshold: int) -> DataFrame | None:
+    """vertex and component of the classes that link, from searches of the nodes' trees; None if there are no nodes."""
+    nodes = cut(members.select(F.col("pivot").alias("key"), "sid").distinct())
+    links = label = None
+
+    def joined(rows: DataFrame) -> None:
+        nonlocal links, label
+        new = cut(verified(searched(rows, classes, threshold), docs, classes, size, threshold))
+        if links is None or not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            label = cut(components(links))
+
+    before = None
+    for salt in range(ROUNDS):
+        named, keys = open_nodes(nodes, label, salt)
+        pairs, sets = keys.agg(F.sum(F.col("probes") * F.col("total")), F.sum("total")).first()
+        if pairs is None:
+            return label
+        if before is not None and (pairs <= PAIRS_A_SET * sets or pairs > PAYS * before):
+            break
+        before = pairs
+        joined(pivot_rows(named, keys))
+    joined(probe_rows(members, nodes, label, threshold))
+    return label
 
 
 def marked_components(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -529,15 +520,12 @@ def marked_components(docs: DataFrame, size: int = SHINGLE, threshold: int = THR
     members = cut(companions(meetings(docs, frequency_ranks(rows), size, threshold)))
     # a row without doc_id stands for a set only where no other does
     one = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("one")
-    classes = rows.where("kind = 0 AND n > 0").groupBy(F.col("id").alias("sid")).agg(one, F.first("n").alias("n"), F.first("point").alias("point"))
-    classes = cut(classes.select("sid", "one.doc_id", "one.mark", "n", "point"))
-    stars = pivot_pairs(members)
-    links = cut(verified(allowed(stars, classes, threshold), docs, classes, size, threshold))
-    label = cut(components(links))
-    more = cut(verified(cross_pairs(members, label, classes, threshold), docs, classes, size, threshold))
-    if not more.isEmpty():
-        label = components(links.unionByName(more))
-    named = classes.select("sid", "doc_id").join(label.withColumnRenamed("vertex", "sid"), "sid", "left").select("sid", "doc_id", F.coalesce("component", "sid").alias("component"))
+    classes = rows.where("kind = 0 AND n > 0").groupBy(F.col("id").alias("sid")).agg(one, *[F.first(c).alias(c) for c in ("n", "point", "fine")])
+    classes = cut(classes.select("sid", "one.doc_id", "one.mark", "n", "point", "fine"))
+    label = class_links(docs, members, classes, size, threshold)
+    named = classes.select("sid", "doc_id", F.col("sid").alias("component"))
+    if label is not None:
+        named = classes.select("sid", "doc_id").join(label.withColumnRenamed("vertex", "sid"), "sid", "left").select("sid", "doc_id", F.coalesce("component", "sid").alias("component"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_set = named.join(smallest, "component").select("sid", "component", "component_id")
     found = own.where("n_shingles > 0").join(by_set, "sid", "left").select("doc_id", "mark", "n_shingles", F.col("sid").alias("set_id"), "component", F.coalesce("component_id", "doc_id").alias("component_id"))

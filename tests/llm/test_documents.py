@@ -425,10 +425,49 @@ def test_tree_finds_what_a_scan_finds():
     base = rng.poisson(2, (40, jaccard.GROUPS))
     point = (base[rng.integers(0, 40, 300)] + rng.poisson(0.05, (300, jaccard.GROUPS))).astype(np.int32)
     size = point.sum(1)
-    tree = jaccard.RTree(point, size)
-    for k in range(0, 300, 7):
-        want = np.flatnonzero(jaccard.reaches(np.minimum(point, point[k]).sum(1), size, size[k]))
-        assert sorted(tree.query(point[k], int(size[k]), 75).tolist()) == want.tolist()
+    node = np.sort(rng.integers(0, 9, 300))
+    node[40:200] = 3
+    node.sort()
+    forest = jaccard.Forest(node, point, size)
+    heads, of = np.unique(node, return_inverse=True)
+    rows = np.arange(0, 300, 7)
+    q, r = forest.search(of[rows], point[rows], size[rows], 75)
+    got = sorted(zip(rows[q].tolist(), r.tolist(), strict=True))
+    want = [(k, i) for k in rows.tolist() for i in range(300) if node[i] == node[k] and jaccard.reaches(np.minimum(point[i], point[k]).sum(), size[i], size[k])]
+    assert got == want and len(forest.levels) == 2 + (max(np.bincount(node)) > 256)
+
+
+def short_documents(n):
+    """Documents of seven words that share one shingle, some with a near copy."""
+    rows = [(i, f"s1 s2 s3 s4 s5 x{i} y{i}") for i in range(n)]
+    return rows + [(n + i, f"s1 s2 s3 s4 s5 x{i} y{i} z{i}") for i in range(0, n, 1000)]
+
+
+def test_jaccard_of_many_short_documents_with_a_shingle(spark):
+    rows = short_documents(20_000)
+    docs = make(spark, rows)
+    met = jaccard.meetings(docs, np.zeros(1 << jaccard.SLOT_BITS, np.uint8))
+    members = jaccard.cut(jaccard.companions(met))
+    nodes = members.select(F.col("pivot").alias("key"), "sid").distinct()
+    # one node holds all sets; below it, no set is copied for other sets
+    assert jaccard.probe_rows(members, nodes, None, 75).count() < 4 * len(rows)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs).collect()}
+    assert got == {i: i - 20_000 if i >= 20_000 else i for i, _ in rows}
+
+
+def test_links_come_through_the_trees(spark, monkeypatch):
+    rows = near_copies(7, 5, 10, 50, 0.02)
+    asked = []
+    own = jaccard.searched
+    monkeypatch.setattr(jaccard, "searched", lambda *a: asked.append(jaccard.cut(own(*a))) or asked[-1])
+    label = jaccard.jaccard_components(make(spark, rows)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in label} == {i: c for i, (_, c) in jaccard.brute_force(rows).items()}
+    pairs = [x.count() for x in asked]
+    assert pairs[0] > 0 and sum(pairs) < 50 * 49 / 4
+    # no tree, no link
+    monkeypatch.setattr(jaccard, "searched", lambda *a: own(*a).limit(0))
+    alone = jaccard.jaccard_components(make(spark, rows)).collect()
+    assert len({r["component_id"] for r in alone}) == len({r["set_id"] for r in alone}) > 40
 
 
 def test_points_bound_overlap():
@@ -436,8 +475,8 @@ def test_points_bound_overlap():
     for n, m in ((10, 2000), (900, 1100), (5000, 5000), (20_000, 17_000)):
         a = np.unique(rng.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64) * np.uint64(2))
         b = np.unique(np.concatenate([a[: n // 2], rng.integers(0, 2**63, m, dtype=np.int64).astype(np.uint64)]))
-        p, q = (jaccard.unpacked(jaccard.packed([jaccard.points(x)])[0].as_py()) for x in (a, b))
-        assert len(np.intersect1d(a, b)) <= jaccard.most_shared(p, q) <= min(len(a), len(b))
+        p, q = (jaccard.packed(jaccard.points(x)) for x in (a, b))
+        assert len(np.intersect1d(a, b)) <= jaccard.most_shared(p, len(a), q, len(b)) <= min(len(a), len(b))
 
 
 def test_one_of_each(spark, awkward, empty):
