@@ -40,9 +40,8 @@ from .words import NONSPACE, chunks, mix, shingles, utf8, word_hashes
 SHINGLE = 5
 #: Threshold in hundredths: link when 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 75
-#: Groups of a point, and finer ones for larger sets: four times as many for each step that a set reaches.
+#: Groups of a point.
 GROUPS = 256
-STEPS = (1024, 4096, 16384)
 #: A shingle that two sets of one window share counts as frequent. Windows hold 32-bit fingerprints of shingles.
 OFTEN = 2
 WINDOW_SHINGLES = 6_000_000
@@ -55,8 +54,10 @@ SLOT_BITS = 24
 CROWDED = 6
 #: How many leading shingles a linked pair must share; as many more shingles lead, so none is lost. Also the levels of nodes.
 SHARED = 3
-#: Sets of a node that one search task holds, and sets that one verification task compares with another.
+#: Sets of a node that one search task holds; with more sets that ask than this many times as many, a node is split, so
+#: that a set is dealt to no more than so many tasks on average. Sets that one verification task compares with another.
 BLOCK = 512
+SPLIT = 8
 VERIFIED_AT_ONCE = 64
 #: Rounds of searching with pivots at most; and they end when so many pairs for each set are left, or fewer than a share of them went.
 ROUNDS = 6
@@ -77,20 +78,11 @@ def set_id(hashes: np.ndarray) -> int:
     return int(mix(np.full(1, total, np.uint64)).view(np.int64)[0])
 
 
-def groups(n: int) -> int:
-    return GROUPS << 2 * sum(n >= step for step in STEPS)
-
-
-def points(hashes: np.ndarray) -> np.ndarray:
-    """Counts by group; finer groups nest in coarser ones, as a group is a hash's leading bits."""
-    g = groups(len(hashes))
+def points(hashes: np.ndarray, g: int = GROUPS) -> np.ndarray:
+    """Counts by group; a group is a hash's leading bits."""
     return np.bincount((hashes >> np.uint64(64 - (g.bit_length() - 1))).astype(np.int64), minlength=g)
 
 
-def coarse(point: np.ndarray, g: int = GROUPS) -> np.ndarray:
-    return point if len(point) == g else point.reshape(g, -1).sum(1)
-
-
 def packed(point: np.ndarray) -> bytes:
     """A point as 8-bit counts, or 32-bit ones where a count needs them; the length tells which."""
     return point.astype("<u1" if point.max() < 256 else "<u4").tobytes()
@@ -103,13 +95,6 @@ def unpacked(raw: list[bytes], g: int = GROUPS) -> np.ndarray:
     return np.stack([np.frombuffer(x, "<u1" if len(x) == g else "<u4").astype(np.uint32) for x in raw])
 
 
-def most_shared(p: bytes, n_p: int, q: bytes, n_q: int) -> int:
-    """What two sets share at most, in the finest groups both have."""
-    g, h = groups(n_p), groups(n_q)
-    a, b = unpacked([p], g)[0].astype(np.int64), unpacked([q], h)[0].astype(np.int64)
-    return int(np.minimum(coarse(a, min(g, h)), coarse(b, min(g, h))).sum())
-
-
 def least_shared(threshold: int = THRESHOLD) -> int:
     """What two different sets that link share at least: 100 s >= threshold (s + 1). The smaller of them may be no more than that."""
     return -(-threshold // (100 - threshold)) if threshold < 100 else 1 << 62
@@ -130,7 +115,7 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int, column: int = 1) -> Iter
 
 
 def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """kind 0: doc_id, set id, set size, point, finer point (of larger sets) and text's hash of every row. kind 1: fingerprint of a shingle often seen in a window, and how often."""
+    """kind 0: doc_id, set id, set size, point and text's hash of every row. kind 1: fingerprint of a shingle often seen in a window, and how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -144,14 +129,12 @@ def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             head = np.flatnonzero(np.append(True, marks[1:] != marks[:-1]))
             count = np.diff(np.append(head, len(marks)))
             value, count = marks[head[count >= OFTEN]], count[count >= OFTEN]
-            none = pa.nulls(len(value), pa.binary())
-            return _rows(np.ones(len(value), np.int32), pa.nulls(len(value), pa.int64()), value.astype(np.int64), count, none, none, pa.nulls(len(value), pa.int64()))
+            return _rows(np.ones(len(value), np.int32), pa.nulls(len(value), pa.int64()), value.astype(np.int64), count, pa.nulls(len(value), pa.binary()), pa.nulls(len(value), pa.int64()))
 
         for batch, i, sets in _sets(batches, size):
             ids = [set_id(s) for s in sets]
-            own = [points(s) for s in sets]
-            point, fine = pa.array([packed(coarse(p)) for p in own], pa.binary()), pa.array([packed(p) if len(p) > GROUPS else None for p in own], pa.binary())
-            yield _rows(np.zeros(len(sets), np.int32), batch.column(0).slice(i, len(sets)), np.array(ids, np.int64), np.array([len(s) for s in sets], np.int64), point, fine, batch.column(2).slice(i, len(sets)))
+            point = pa.array([packed(points(s)) for s in sets], pa.binary())
+            yield _rows(np.zeros(len(sets), np.int32), batch.column(0).slice(i, len(sets)), np.array(ids, np.int64), np.array([len(s) for s in sets], np.int64), point, batch.column(2).slice(i, len(sets)))
             for x, s in zip(ids, sets, strict=True):
                 if x not in seen and len(s):
                     seen.add(x)
@@ -165,15 +148,15 @@ def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         if window:
             yield often()
 
-    return with_text(docs).withColumn("mark", F.xxhash64("text")).mapInArrow(trimmed(run), "kind int, doc_id long, id long, n long, point binary, fine binary, mark long")
+    return with_text(docs).withColumn("mark", F.xxhash64("text")).mapInArrow(trimmed(run), "kind int, doc_id long, id long, n long, point binary, mark long")
 
 
 def fingerprints(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(32)).astype(np.uint32)
 
 
-def _rows(kind, doc, value, n, point, fine, mark) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), doc, pa.array(value, pa.int64()), pa.array(n, pa.int64()), point, fine, mark], names=["kind", "doc_id", "id", "n", "point", "fine", "mark"])
+def _rows(kind, doc, value, n, point, mark) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), doc, pa.array(value, pa.int64()), pa.array(n, pa.int64()), point, mark], names=["kind", "doc_id", "id", "n", "point", "mark"])
 
 
 def frequency_ranks(rows: DataFrame, most: int | None = None) -> np.ndarray:
@@ -366,7 +349,7 @@ def _searched(threshold: int):
         for t in _whole_tasks(batches, SEARCHED_ROWS):
             task, sid, comp, n = (t.column(c).to_numpy() for c in ("task", "sid", "comp", "n"))
             asks, held = (t.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "held"))
-            point, fine = unpacked(t.column("point").to_pylist()), t.column("fine")
+            point = unpacked(t.column("point").to_pylist())
             of = np.flatnonzero(held)
             trees, at = np.unique(task[of], return_index=True)
             forest = Forest(task[of], point[of], n[of])
@@ -376,11 +359,6 @@ def _searched(threshold: int):
             # of two sets that ask each other, the first asks
             keep = (comp[q] != comp[r]) & ((sid[q] < sid[r]) | ~asks[r])
             q, r = q[keep], r[keep]
-            large = np.flatnonzero((n[q] >= STEPS[0]) & (n[r] >= STEPS[0]))
-            if len(large):
-                ok = np.ones(len(q), bool)
-                ok[large] = [bool(reaches(most_shared(fine[int(x)].as_py(), int(n[x]), fine[int(y)].as_py(), int(n[y])), n[x], n[y], threshold)) for x, y in zip(q[large], r[large], strict=True)]
-                q, r = q[ok], r[ok]
             yield pa.RecordBatch.from_arrays([pa.array(sid[q]), pa.array(sid[r])], names=["hub", "sid"])
 
     return run
@@ -388,7 +366,7 @@ def _searched(threshold: int):
 
 def searched(rows: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     """Pairs (hub, sid) that the trees of rows (task, asks, held, sid, comp) return."""
-    dealt = rows.join(classes.select("sid", "n", "point", "fine"), "sid").select("task", "asks", "held", "sid", "comp", "n", "point", "fine")
+    dealt = rows.join(classes.select("sid", "n", "point"), "sid").select("task", "asks", "held", "sid", "comp", "n", "point")
     return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(trimmed(_searched(threshold)), "hub long, sid long").distinct()
 
 
@@ -462,14 +440,14 @@ def _block_rows(named: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.select("key", "sid", "comp", "asks", "own", F.explode(spread).alias("i")).select(F.xxhash64("key", "i").alias("task"), "asks", (F.col("own") == F.col("i")).alias("held"), "sid", "comp")
 
 
-def probe_rows(members: DataFrame, nodes: DataFrame, label: DataFrame | None, threshold: int) -> DataFrame:
-    """Search rows of all open nodes. Those with more than ``BLOCK`` sets that ask are split by one, two and three leading shingles."""
+def probe_rows(members: DataFrame, nodes: DataFrame, label: DataFrame | None, threshold: int, opened: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Search rows of all open nodes (``opened`` are these, if they are known). Those with more than ``SPLIT * BLOCK`` sets that ask are split by one, two and three leading shingles."""
     levels, rows = min(SHARED, least_shared(threshold)), None
     deep = nodes.select("key", "sid", F.array().cast("array<long>").alias("path"))
     shingles_ = members.select("sid", "sig").distinct()
     for level in range(levels + 1):
-        named, keys = open_nodes(deep.select("key", "sid").distinct(), label, 0)
-        crowded = F.col("probes") > BLOCK if level < levels else F.lit(False)
+        named, keys = opened if opened and not level else open_nodes(deep.select("key", "sid").distinct(), label, 0)
+        crowded = F.col("probes") > SPLIT * BLOCK if level < levels else F.lit(False)
         found = _block_rows(named, keys.where(~crowded))
         rows = found if rows is None else rows.unionByName(found)
         hot = cut(keys.where(crowded).select("key"))
@@ -506,7 +484,9 @@ def class_links(docs: DataFrame, members: DataFrame, classes: DataFrame, size: i
             break
         before = pairs
         joined(pivot_rows(named, keys))
-    joined(probe_rows(members, nodes, label, threshold))
+    else:
+        named, keys = open_nodes(nodes, label, ROUNDS)
+    joined(probe_rows(members, nodes, label, threshold, (named, keys)))
     return label
 
 
@@ -520,8 +500,8 @@ def marked_components(docs: DataFrame, size: int = SHINGLE, threshold: int = THR
     members = cut(companions(meetings(docs, frequency_ranks(rows), size, threshold)))
     # a row without doc_id stands for a set only where no other does
     one = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("one")
-    classes = rows.where("kind = 0 AND n > 0").groupBy(F.col("id").alias("sid")).agg(one, *[F.first(c).alias(c) for c in ("n", "point", "fine")])
-    classes = cut(classes.select("sid", "one.doc_id", "one.mark", "n", "point", "fine"))
+    classes = rows.where("kind = 0 AND n > 0").groupBy(F.col("id").alias("sid")).agg(one, *[F.first(c).alias(c) for c in ("n", "point")])
+    classes = cut(classes.select("sid", "one.doc_id", "one.mark", "n", "point"))
     label = class_links(docs, members, classes, size, threshold)
     named = classes.select("sid", "doc_id", F.col("sid").alias("component"))
     if label is not None:
