@@ -1,25 +1,28 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
-Documents are read in shards (a few MB of whole texts). Each shard sorts the suffixes of its word
-sequence, as far as a benchmark window goes, into a suffix array; every benchmark suffix is found in it
-by binary search, which gives the range of training positions that start with it. Matches on
-neighbouring positions of one item join to longest verbatim matches with their places. A shard needs no
-other shard, so there is no shuffle, and copies or hot sources cost nothing extra.
-
-Words of the training text outside the benchmark's vocabulary end every match, and a suffix whose first
-two words start no benchmark suffix cannot match; such suffixes are left out of the array.
-
-The benchmark is broadcast in blocks of at most ``block_words`` words. A larger benchmark is taken in one pass for each
-block; documents hit in several are merged by row, so what a task or the driver holds is bounded.
-
-Defined cases: null or empty texts have no words and hit nothing; items without words are ignored; an
-item with fewer words than a window is one window; a document that repeats is judged each time alike;
-an empty benchmark leaves all documents clean; extra columns pass through ``decontaminate`` untouched.
+Documents are read in shards (a MB or more of whole texts). Each shard sorts the suffixes of its words into a suffix
+array, and every suffix of the benchmark is put into its place there by binary search. A training suffix's longest verbatim
+match is then with one of the two benchmark suffixes around it, so common prefixes in both directions give, for each
+place of the text, the length and place of its longest match. Places that match a window's words or more are hits. A
+shard needs no other shard, so there is no shuffle, and copies or hot sources cost nothing extra.
+
+Words outside the benchmark's vocabulary, and ends of texts and items, end every match; suffixes that begin with such a word
+match nothing and are in no array.
+
+The benchmark is cut into blocks of about ``block_bytes``, whose own suffix arrays are made by executors and written to the
+shared folder, where tasks read them; only their paths reach the driver. A benchmark of several blocks is taken in one
+pass for each, and documents hit in several are merged by row, so a task holds one block.
+
+Defined cases: null or empty texts have no words and hit nothing; a very long text is a shard by itself; items without words
+are ignored; an item with fewer words than a window is one window; an item without item_id counts as one named ''; a
+document that repeats is judged each time alike; an empty benchmark leaves all documents clean; extra columns pass
+through ``decontaminate`` untouched.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,88 +31,183 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, cut, free_name, table, trimmed, with_text
+from .common import bounded, cut, free_name, fresh_path, open_store, table, trimmed, with_text
 from .words import ALNUM, chunks, hashes, lowered, spans, utf8
 
 WINDOW = 10
-#: Bound of what is broadcast at once: words of benchmark text.
-BLOCK_WORDS = 2_000_000
+#: Bound of what a task holds of the benchmark at once: bytes of its text, about two million words.
+BLOCK_BYTES = 12 << 20
+#: Bytes of a shard, and most for large benchmarks, as all of a block is searched in each.
+SHARD_BYTES = 1 << 20
+MOST_SHARD_BYTES = 4 << 20
+
+
+class Line:
+    """Word numbers in a row, with a 0 after each text, and for each place how many words are left before a 0."""
+
+    def __init__(self, ids: np.ndarray, bits: int, per: int):
+        self.ids, self.per = ids, per
+        zero = np.flatnonzero(ids == 0)
+        at = np.arange(len(ids))
+        self.left = zero[np.searchsorted(zero, at)] - at if len(ids) else at
+        # the next words up to a 0 as one number
+        self.key, alive, wide = np.zeros(len(ids), np.int64), np.ones(len(ids), bool), np.append(ids, np.zeros(per, np.int64))
+        for k in range(per):
+            word = wide[k : k + len(ids)]
+            alive &= word > 0
+            self.key = (self.key << bits) | np.where(alive, word, 0)
+
+    def suffixes(self, depth: int) -> np.ndarray:
+        """Places of words in the order of the suffixes from there, as far as depth words at least, by doubling."""
+        at = np.flatnonzero(self.ids)
+        order = np.argsort(self.key[at], kind="stable")
+        at = at[order]
+        rank = np.zeros(len(self.ids) + 1, np.int64)
+        key = self.key[at]
+        new = np.append(True, key[1:] != key[:-1])
+        rank[at] = np.maximum.accumulate(np.where(new, np.arange(1, len(at) + 1), 0))
+        done, tied = self.per, np.arange(len(at))
+        while done < depth and len(tied):
+            # ranks are places in the array, so equal ones stand together
+            own = rank[at[tied]]
+            same = np.append(own[1:] == own[:-1], False)
+            tied = tied[same | np.append(False, same[:-1])]
+            if not len(tied):
+                break
+            sub = at[tied]
+            second = np.where(self.left[sub] > done, rank[np.minimum(sub + done, len(self.ids))], 0)
+            pair = rank[sub] * (len(self.ids) + 1) + second
+            order = np.argsort(pair, kind="stable")
+            sub, pair = sub[order], pair[order]
+            at[tied] = sub
+            new = np.append(True, pair[1:] != pair[:-1])
+            rank[sub] = np.maximum.accumulate(np.where(new, tied + 1, 0))
+            done *= 2
+        return at
+
+
+def bisected(keys, low: np.ndarray, high: np.ndarray, wanted: np.ndarray, right: bool) -> np.ndarray:
+    """First place in [low, high) whose key is not less than (right: greater than) the wanted one; ``keys`` gives places' keys, sorted within each range."""
+    low, high = low.copy(), high.copy()
+    open_ = np.flatnonzero(low < high)
+    while len(open_):
+        middle = (low[open_] + high[open_]) >> 1
+        key = keys(open_, middle)
+        up = key <= wanted[open_] if right else key < wanted[open_]
+        low[open_[up]] = middle[up] + 1
+        high[open_[~up]] = middle[~up]
+        open_ = open_[low[open_] < high[open_]]
+    return low
+
+
+def common_prefix(a: Line, at: np.ndarray, b: Line, of: np.ndarray) -> np.ndarray:
+    """How many words the suffix of a at each place shares with that of b."""
+    out, alive = np.zeros(len(at), np.int64), np.flatnonzero((at >= 0) & (of >= 0))
+    step = 0
+    while len(alive):
+        x, y = at[alive] + step, of[alive] + step
+        word = a.ids[x]
+        alive = alive[(word == b.ids[y]) & (word > 0)]
+        step += 1
+        out[alive] = step
+    return out
 
 
 class TestIndex:
-    """Benchmark items as word ids, their windows and their leading word pairs."""
+    """Items of a benchmark as a line of words, the suffix array of it, and which items have each window."""
 
     __test__ = False
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
-        self.window = window
         texts = [t for _, t in items]
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         data = np.frombuffer(b"".join(texts), np.uint8)
         starts, ends, first = spans(data, offsets, ALNUM)
         low = lowered(data).tobytes()
-        strings = [low[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        vocabulary = sorted(set(strings))
-        number = {w: i + 1 for i, w in enumerate(vocabulary)}
-        self.words = vocabulary
-        self.ids = np.array([number[w] for w in strings], np.int64)
-        h = hashes(data, starts, ends)
-        of = {}
-        for w, x in zip(strings, h.tolist(), strict=True):
-            of[w] = x
-        table_ = np.array([of[w] for w in vocabulary], np.uint64)
-        order = np.argsort(table_)
-        self.hash, self.hash_id = table_[order], order + 1
-        self.names = [str(i) for i, _ in items]
-        # windows: item, place, words
-        windows: dict[bytes, list[tuple[int, int]]] = {}
-        for item, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-            if b == a:
-                continue
-            size = min(window, b - a)
-            for p in range(a, b - size + 1):
-                windows.setdefault(self.key(self.ids[p : p + size]), []).append((item, p))
-        self.keys = sorted(windows)
-        self.places = [windows[k] for k in self.keys]
-        self.sizes = [len(k) // 4 for k in self.keys]
-        self.lengths = sorted(set(self.sizes))
-        pairs = {(k[:4], k[4:8]) for k in self.keys}
-        self.single = np.zeros(len(vocabulary) + 2, bool)
-        for k in self.keys:
-            if len(k) == 4:
-                self.single[int.from_bytes(k, "big")] = True
-        self.pairs = np.array(sorted({(int.from_bytes(a, "big") << 32) | int.from_bytes(b, "big") for a, b in pairs if b}), np.int64)
-        self.by_size = {n: (np.array([k for k in self.keys if len(k) == 4 * n], f"S{4 * n}"), [i for i, k in enumerate(self.keys) if len(k) == 4 * n]) for n in self.lengths}
-
-    @staticmethod
-    def key(ids: np.ndarray) -> bytes:
-        return ids.astype(">u4").tobytes()
+        coded = pa.array([low[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary()).dictionary_encode()
+        self.words, self.window = coded.dictionary, window
+        number = coded.indices.to_numpy().astype(np.int64) + 1
+        own = np.zeros(len(self.words), np.uint64)
+        own[number - 1] = hashes(data, starts, ends)
+        order = np.argsort(own)
+        self.hash, self.hash_id = own[order], order + 1
+        self.bits = max(1, int(len(self.words)).bit_length())
+        self.per = max(1, min(8, 63 // self.bits))
+        self.line = Line(_line(number, first), self.bits, self.per)
+        count = np.diff(first)
+        self.names = [n for n, _ in items]
+        item_of = np.repeat(np.arange(len(items)), count + 1)
+        self.item, self.begin = item_of, (first[:-1] + np.arange(len(items)))[item_of] if len(items) else item_of
+        self.longest = int(count.max(initial=0))
+        self.order = self.line.suffixes(self.longest + 1)
+        # windows: a number for each different one, and the items that have it
+        left = self.line.left[self.order]
+        follows = common_prefix(self.line, self.order[:-1], self.line, self.order[1:]) >= window
+        group = np.cumsum(np.append(True, ~follows)[: len(self.order)]) - 1
+        full = left >= window
+        self.group = np.full(len(self.line.ids), -1, np.int64)
+        self.group[self.order[full]] = group[full]
+        pairs = np.unique(np.stack([group[full], item_of[self.order[full]]]), axis=1)
+        self.group_begin = np.searchsorted(pairs[0], np.arange(int(group.max(initial=-1)) + 2))
+        self.group_item = pairs[1]
+        #: first places of the items with fewer words than a window, which are windows as they are
+        self.short = (first[:-1] + np.arange(len(items)))[(count > 0) & (count < window)]
+
+    def items_of(self, group: int) -> list[str]:
+        return [self.names[i] for i in self.group_item[self.group_begin[group] : self.group_begin[group + 1]]]
 
     def lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Id of each training word by its 64-bit hash, 0 outside the vocabulary; ``scan_shard`` confirms hits by the bytes."""
+        """Number of each training word by its 64-bit hash, 0 outside the vocabulary; ``scan_shard`` confirms what matches by the bytes."""
         if not len(self.hash) or not len(starts):
             return np.zeros(len(starts), np.int64)
         h = hashes(data, starts, ends)
         at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
         return np.where(self.hash[at] == h, self.hash_id[at], 0)
 
-
-def suffix_array(ids: np.ndarray, keep: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Kept positions in the order of the ``depth`` words from there, and those words as sortable bytes."""
-    padded = np.concatenate([ids, np.zeros(depth, np.int64)]).astype(">u4")
-    at = np.flatnonzero(keep)
-    if not len(at):
-        return at, np.zeros(0, f"S{4 * depth}")
-    # after the first word outside the vocabulary (0) nothing counts
-    block = np.lib.stride_tricks.sliding_window_view(padded, depth)[at].copy()
-    block[np.cumsum(block == 0, axis=1) > 0] = 0
-    key = np.ascontiguousarray(block).view(f"S{4 * depth}").ravel()
-    order = np.argsort(key, kind="stable")
-    return at[order], key[order]
+    @property
+    def shard_bytes(self) -> int:
+        return min(MOST_SHARD_BYTES, max(SHARD_BYTES, 6 * len(self.order)))
+
+
+def _line(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Words of texts in a row with a 0 after each text."""
+    line = np.zeros(len(ids) + len(first) - 1, np.int64)
+    line[np.arange(len(ids)) + np.repeat(np.arange(len(first) - 1), np.diff(first))] = ids
+    return line
+
+
+def _inserted(index: TestIndex, shard: Line, array: np.ndarray) -> np.ndarray:
+    """For every benchmark suffix, in order, how many training suffixes come before it."""
+    test, q, per = index.line, index.order, index.per
+    sorted_ = shard.key[array]
+    low, high = (np.searchsorted(sorted_, test.key[q], side=x).astype(np.int64) for x in ("left", "right"))
+    done = per
+    live = np.flatnonzero((low < high) & (test.left[q] >= done))
+    while len(live):
+        keys = lambda i, at, done=done: shard.key[array[at] + done]
+        wanted = test.key[q[live] + done]
+        low[live], high[live] = bisected(keys, low[live], high[live], wanted, False), bisected(keys, low[live], high[live], wanted, True)
+        done += per
+        live = live[(low[live] < high[live]) & (test.left[q[live]] >= done)]
+    return low
+
+
+def _with_prefix(index: TestIndex, shard: Line, array: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges of the array whose suffixes begin with all words of the (short) items at these places."""
+    test, per, bits = index.line, index.per, index.bits
+    low, high, size = np.zeros(len(at), np.int64), np.full(len(at), len(array), np.int64), test.left[at]
+    for done in range(0, int(size.max(initial=0)), per):
+        live = np.flatnonzero((low < high) & (size > done))
+        keys = lambda i, x, done=done: shard.key[array[x] + done]
+        wanted = test.key[at[live] + done]
+        # words beyond the item's may be any
+        beyond = (np.int64(1) << bits * np.maximum(0, per - (size[live] - done))) - 1
+        low[live], high[live] = bisected(keys, low[live], high[live], wanted, False), bisected(keys, low[live], high[live], wanted | beyond, True)
+    return low, high
 
 
 def scan_shard(index: TestIndex, data: np.ndarray, offsets: np.ndarray) -> list[dict]:
-    """For each text: n_words, the hit words' indices, items with occurring windows, longest matches."""
+    """For each text: n_words, n_hit, the hit words' indices, items with occurring windows, matches of a window or more, and the longest match of any length."""
     starts, ends, first = spans(data, offsets, ALNUM)
     ids = index.lookup(data, starts, ends)
     while (out := _scan_ids(index, ids, first)) and (wrong := _misread(index, data, starts, ends, ids, first, out)):
@@ -118,158 +216,187 @@ def scan_shard(index: TestIndex, data: np.ndarray, offsets: np.ndarray) -> list[
 
 
 def _misread(index: TestIndex, data, starts, ends, ids, first, out) -> list[int]:
-    hits = [first[t] + w for t, x in enumerate(out) for w in x.get("hit_words", ())]
-    return [i for i in hits if lowered(data[starts[i] : ends[i]]).tobytes() != index.words[ids[i] - 1]]
+    seen = set()
+    for t, x in enumerate(out):
+        seen.update((first[t] + x["hit_words"]).tolist())
+        if x["longest"]:
+            seen.update(range(first[t] + x["longest"][1], first[t] + x["longest"][1] + x["longest"][3]))
+    return [i for i in seen if lowered(data[starts[i] : ends[i]]).tobytes() != index.words[int(ids[i]) - 1].as_py()]
 
 
 def _scan_ids(index: TestIndex, ids: np.ndarray, first: np.ndarray) -> list[dict]:
-    n = len(ids)
-    # matches end at a text's end: a 0 between texts
-    texts = len(first) - 1
-    gap = np.arange(texts).repeat(np.diff(first))
-    line = np.zeros(n + texts + 1, np.int64)
-    place = np.arange(n) + gap
-    line[place] = ids
-    follow = np.append(line[1:], 0)
-    keep = index.single[line]
-    if len(index.pairs):
-        pair = (line << 32) | follow
-        at = np.minimum(np.searchsorted(index.pairs, pair), len(index.pairs) - 1)
-        keep = keep | ((index.pairs[at] == pair) & (line > 0) & (follow > 0))
-    where, key = suffix_array(line, keep, index.window)
-    hit = np.zeros(len(line) + 1, np.int64)
-    found: list[tuple[np.ndarray, int]] = []
-    for size in index.lengths:
-        wanted, number = index.by_size[size]
-        low = np.searchsorted(key, wanted, side="left")
-        # the end of the range of suffixes with this prefix: the same bytes followed by the largest ones
-        above = np.array([w.ljust(4 * size, b"\0") + b"\xff" * (4 * (index.window - size) + 1) for w in wanted.tolist()], f"S{4 * index.window + 1}") if len(wanted) else wanted
-        high = np.searchsorted(key, above, side="left")
-        for k in np.flatnonzero(high > low).tolist():
-            at = where[low[k] : high[k]]
+    window, texts = index.window, len(first) - 1
+    begin = first[:-1] + np.arange(texts)  # of texts in the line
+    none = np.zeros(0, np.int64)
+    out = [{"n_words": int(w), "n_hit": 0, "hit_words": none, "items": set(), "matches": [], "longest": None} for w in np.diff(first)]
+    shard = Line(_line(ids, first), index.bits, index.per)
+    array = shard.suffixes(index.longest + 1)
+    if not len(array) or not len(index.order):
+        return out
+    # the benchmark suffixes before and after each training suffix
+    after = np.searchsorted(_inserted(index, shard, array), np.arange(len(array)), side="right")
+    before = np.where(after > 0, index.order[after - 1], -1)
+    behind = np.where(after < len(index.order), index.order[np.minimum(after, len(index.order) - 1)], -1)
+    one, two = common_prefix(shard, array, index.line, before), common_prefix(shard, array, index.line, behind)
+    size, of = np.zeros(len(shard.ids), np.int64), np.full(len(shard.ids), -1, np.int64)
+    size[array], of[array] = np.maximum(one, two), np.where(one >= two, before, behind)
+    owner = np.searchsorted(begin, np.arange(len(shard.ids)), side="right") - 1
+    hit = np.zeros(len(shard.ids) + 1, np.int64)
+
+    def match(at: int, place: int, words: int) -> tuple:
+        return index.names[index.item[place]], int(at - begin[owner[at]]), int(place - index.begin[place]), words
+
+    whole = np.flatnonzero(size >= window)
+    np.add.at(hit, whole, 1)
+    np.add.at(hit, whole + size[whole], -1)
+    for t, group in set(zip(owner[whole].tolist(), index.group[of[whole]].tolist(), strict=True)):
+        out[t]["items"].update(index.items_of(group))
+    # a match that the place before it belongs to is no match of its own
+    for at in whole[(whole == 0) | (size[whole - 1] != size[whole] + 1)].tolist():
+        out[owner[at]]["matches"].append(match(at, int(of[at]), int(size[at])))
+    low, high = _with_prefix(index, shard, array, index.short)
+    for place, a, b in zip(index.short.tolist(), low.tolist(), high.tolist(), strict=True):
+        n = int(index.line.left[place])
+        for at in array[a:b].tolist():
             hit[at] += 1
-            hit[at + size] -= 1
-            found.append((at, number[k]))
+            hit[at + n] -= 1
+            out[owner[at]]["items"].add(index.names[index.item[place]])
+            out[owner[at]]["matches"].append(match(at, place, n))
     covered = np.cumsum(hit[:-1]) > 0
-    first_place = first[:-1] + np.arange(texts)
-    count = np.diff(np.concatenate([[0], np.cumsum(covered)])[np.append(first_place, len(line))])
-    out = [{"n_words": int(w), "n_hit": int(c), "items": set(), "matches": []} for w, c in zip(np.diff(first), count, strict=True)]
-    if found:
-        owner = np.searchsorted(first_place, np.concatenate([f[0] for f in found]), side="right") - 1
-        window_of = np.concatenate([np.full(len(a), k) for a, k in found])
-        at = np.concatenate([f[0] for f in found])
-        for t, k in set(zip(owner.tolist(), window_of.tolist(), strict=True)):
-            out[t]["items"].update(index.names[i] for i, _ in index.places[k])
-        _longest(index, out, owner, at - first_place[owner], window_of)
-        for t in set(owner.tolist()):
-            a = first_place[t]
-            words = np.flatnonzero(covered[a : a + out[t]["n_words"]])
-            out[t]["hit_words"] = words
+    for t in set(owner[covered].tolist()):
+        words = np.flatnonzero(covered[begin[t] : begin[t] + out[t]["n_words"]])
+        out[t]["hit_words"], out[t]["n_hit"] = words, len(words)
+    for t, (a, n) in enumerate(zip(begin.tolist(), np.diff(first).tolist(), strict=True)):
+        if n and size[at := a + int(np.argmax(size[a : a + n]))]:
+            out[t]["longest"] = match(at, int(of[at]), int(size[at]))
     return out
 
 
-def _longest(index: TestIndex, out: list[dict], owner: np.ndarray, at: np.ndarray, window_of: np.ndarray) -> None:
-    """Join matching windows along one diagonal (training place less item place) to longest verbatim matches."""
-    diagonals: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
-    for t, p, k in zip(owner.tolist(), at.tolist(), window_of.tolist(), strict=True):
-        size = index.sizes[k]
-        for item, q in index.places[k]:
-            diagonals.setdefault((t, item, p - q), []).append((p, p + size))
-    first = {}
-    for places in index.places:
-        for item, q in places:
-            first[item] = min(first.get(item, q), q)
-    for (t, item, d), runs in diagonals.items():
-        runs.sort()
-        a, b = runs[0]
-        for x, y in [*runs[1:], (1 << 60, 1 << 60)]:
-            if x > b:
-                out[t]["matches"].append((index.names[item], a, a - d - first[item], b - a))
-                a, b = x, y
-            b = max(b, y)
-
-
-def benchmark_blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[TestIndex]:
-    """Indexes of bounded size over the benchmark, which is read row by row; one empty index if it has no rows."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).orderBy("item_id", "text")
-    held, size, made = [], 0, 0
-    for row in rows.toLocalIterator():
-        text = row["text"].encode()
-        if held and size + len(text) > 6 * block_words:
-            yield TestIndex(held, window)
-            held, size, made = [], 0, made + 1
-        held.append((row["item_id"] if row["item_id"] is not None else "", text))
-        size += len(text)
-    if held or not made:
-        yield TestIndex(held, window)
-
-
-MATCH = T.ArrayType(T.StructType([T.StructField("item_id", T.StringType()), T.StructField("word_start", T.LongType()), T.StructField("item_word_start", T.LongType()), T.StructField("length", T.LongType())]))
-HITS = T.StructType([T.StructField("origin", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("matches", MATCH)])
+def index_blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list[str]:
+    """Paths of the indexes of a benchmark's blocks, made and written by executors; one of no items if it has no rows."""
+    rows = bounded(benchmark.sparkSession) and benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    folder = fresh_path(benchmark.sparkSession, "benchmark")
+    blocks = max(1, -(-int(rows.agg(F.sum(F.octet_length("text").cast("long") + 1)).first()[0] or 0) // block_bytes))
+    fs, top = open_store(folder)
+    fs.create_dir(top, recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held: list[tuple[str, bytes]] = []
+        fs, top = open_store(folder)
+
+        def write(block: int) -> pa.RecordBatch:
+            draft = f"{top}/.{block}.{TaskContext.get().taskAttemptId()}"
+            with fs.open_output_stream(draft) as to:
+                to.write(pickle.dumps(TestIndex(held, window), 5))
+            fs.move(draft, f"{top}/{block}")
+            held.clear()
+            return pa.RecordBatch.from_pydict({"path": [f"{folder}/{block}"]})
+
+        now = None
+        for batch in batches:
+            for block, name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
+                if held and block != now:
+                    yield write(now)
+                now = block
+                held.append((name, text))
+        if held:
+            yield write(now)
+
+    placed = rows.select(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int").alias("block"), "item_id", "text")
+    dealt = placed.repartition(blocks, "block").sortWithinPartitions("block", "item_id", "text")
+    paths = sorted(r["path"] for r in dealt.mapInArrow(trimmed(run), "path string").collect())
+    if not paths:
+        with fs.open_output_stream(f"{top}/none") as to:
+            to.write(pickle.dumps(TestIndex([], window), 5))
+    return paths or [f"{folder}/none"]
+
+
+_indexes: dict[str, TestIndex] = {}
+
+
+def _index(path: str) -> TestIndex:
+    """A block's index; a worker keeps the last one."""
+    if path not in _indexes:
+        fs, name = open_store(path)
+        with fs.open_input_stream(name) as source:
+            _indexes.clear()
+            _indexes[path] = pickle.loads(source.read())
+    return _indexes[path]
+
+
+_PLACE = [T.StructField("item_id", T.StringType()), T.StructField("word_start", T.LongType()), T.StructField("item_word_start", T.LongType()), T.StructField("length", T.LongType())]
+MATCH = T.StructType(_PLACE)
+HITS = T.StructType(
+    [T.StructField("origin", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("matches", T.ArrayType(MATCH)), T.StructField("longest", MATCH)]
+)
 
 
 def _scan(texts: pa.Array, index: TestIndex) -> Iterator[dict]:
     """Results of every text."""
     data, offsets = utf8(texts)
-    for i, j in chunks(offsets):
+    for i, j in chunks(offsets, index.shard_bytes):
         yield from scan_shard(index, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
-def _hits(docs: DataFrame, index: TestIndex, every: bool) -> DataFrame:
-    """Hit words, items and longest matches of rows (origin, doc_id, text): of all, or of those that are hit."""
+def _hits(docs: DataFrame, path: str, every: bool) -> DataFrame:
+    """Hit words, items and matches of rows (origin, doc_id, text): of all, or of those that match anything."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    spread, schema = docs.sparkSession.sparkContext.broadcast(index), to_arrow_schema(HITS)
+    schema, names = to_arrow_schema(HITS), [f.name for f in _PLACE]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for origin, doc, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _scan(batch.column(2), spread.value), strict=True):
-                if every or x["n_hit"]:
-                    matches = [{"item_id": i, "word_start": p, "item_word_start": q, "length": n} for i, p, q, n in sorted(x["matches"])]
-                    rows.append({"origin": origin, "doc_id": doc, "n_words": x["n_words"], "hits": list(map(int, x.get("hit_words", ()))), "items": sorted(x["items"]), "matches": matches})
+            for origin, doc, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _scan(batch.column(2), _index(path)), strict=True):
+                if every or x["longest"]:
+                    matches = [dict(zip(names, m, strict=True)) for m in sorted(x["matches"])]
+                    rows.append({"origin": origin, "doc_id": doc, "n_words": x["n_words"], "hits": x["hit_words"].tolist(), "items": sorted(x["items"]), "matches": matches, "longest": x["longest"] and dict(zip(names, x["longest"], strict=True))})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     return docs.select("origin", "doc_id", "text").mapInArrow(trimmed(run), HITS)
 
 
-def match_report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted) and matches (item, place, place in the item, words) of every row."""
-    blocks = benchmark_blocks(benchmark, window, block_words)
-    first, second = next(blocks), next(blocks, None)
+def match_report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Of every row: doc_id, n_words, n_hit, items (sorted), matches and longest.
+
+    A match is (item, place, place in the item, words). ``matches`` are the longest ones from each place of a window's words
+    or more, and short items; ``longest`` is the longest of any length, with one place of the benchmark that has it.
+    """
+    first, *others = index_blocks(benchmark, window, block_bytes)
     rows = with_text(docs).withColumn("origin", F.monotonically_increasing_id())
-    if second is None:
+    if not others:
         merged = _hits(rows, first, True)
     else:
         rows = cut(rows)  # the passes must agree on the rows' numbers
         found = cut(_hits(rows, first, True))
-        while second is not None:
-            found, second = found.unionByName(cut(_hits(rows, second, False))), next(blocks, None)
+        for path in others:
+            found = found.unionByName(cut(_hits(rows, path, False)))
         whole = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
         # a row for each block at most
-        merged = found.groupBy("origin").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), whole("hits"), whole("items"), whole("matches"))
-    return merged.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), "items", "matches")
+        longest = F.max(F.when(F.col("longest").isNotNull(), F.struct("longest.length", "longest")))["longest"].alias("longest")
+        merged = found.groupBy("origin").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), whole("hits"), whole("items"), whole("matches"), longest)
+    return merged.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), "items", "matches", "longest")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents without a benchmark window, all columns as they are."""
     bounded(docs.sparkSession)
     text, kept = free_name(docs.columns, "scanned_text"), T.StructType(docs.schema.fields)
 
-    def clean(df: DataFrame, index: TestIndex) -> DataFrame:
-        spread = df.sparkSession.sparkContext.broadcast(index)
-
+    def clean(df: DataFrame, path: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ok = pa.array([x["n_hit"] == 0 for x in _scan(batch.column(batch.num_columns - 1), spread.value)], pa.bool_())
+                ok = pa.array([x["n_hit"] == 0 for x in _scan(batch.column(batch.num_columns - 1), _index(path))], pa.bool_())
                 yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(ok)
 
         return df.withColumn(text, F.col("text").cast("string")).mapInArrow(trimmed(run), kept)
 
-    blocks = benchmark_blocks(benchmark, window, block_words)
-    out = clean(docs, next(blocks))
-    for index in blocks:
-        out = clean(cut(out), index)  # cut, so that no task holds two blocks
+    first, *others = index_blocks(benchmark, window, block_bytes)
+    out = clean(docs, first)
+    for path in others:
+        out = clean(cut(out), path)  # cut, so that no task holds two blocks
     return out
 
 
@@ -283,6 +410,7 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
         F.coalesce(F.array_max(F.transform("matches", lambda m: m["length"])), F.lit(0)).cast("long").alias("longest_match"),
+        F.coalesce(F.col("longest.length"), F.lit(0)).cast("long").alias("longest_verbatim"),
     )
 
 

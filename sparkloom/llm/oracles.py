@@ -33,10 +33,15 @@ WITH d AS (
   GROUP BY r, item_id, diagonal, g
 ), longest AS (
   SELECT r, max(z - a) AS longest FROM joined GROUP BY r
+), alike AS (
+  SELECT r, b, i - j AS diagonal, i - row_number() OVER (PARTITION BY r, b, i - j ORDER BY i) AS run
+  FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d) JOIN (SELECT b, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM b) USING (word)
+), verbatim AS (
+  SELECT r, max(n) AS verbatim FROM (SELECT r, count(*) AS n FROM alike GROUP BY r, b, diagonal, run) GROUP BY r
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest_match
-FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r) LEFT JOIN longest USING (r)
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest_match, CAST(coalesce(verbatim, 0) AS BIGINT) AS longest_verbatim
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r) LEFT JOIN longest USING (r) LEFT JOIN verbatim USING (r)
 """
 
 WARC = """

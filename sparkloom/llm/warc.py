@@ -24,11 +24,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, fresh_path, join_named, partitions, table, trimmed
+from .common import bounded, cut, fresh_path, join_named, open_store, partitions, table, trimmed
 
 LEAST_BYTES = 0
 LEVEL = 4
@@ -42,10 +41,6 @@ DATE = "1970-01-01T00:00:00Z"
 MAGIC = b"\x1f\x8b\x08"
 
 
-def _open(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
-
-
 def record(kind: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, unique: str, date: str = DATE) -> bytes:
     """One record before compression; a revisit record has the HTTP header but no payload."""
     name = lambda i: f"<urn:page:{i}>" if i is not None else f"<urn:page:none:{unique}>"
@@ -72,14 +67,14 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
     first = marked.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     first = cut(first.where("n > 1 AND first_id IS NOT NULL"))
     joined = join_named(marked, first, "digest", "n", BROADCAST_ROWS).select("page_id", "url", "payload", "digest", "first_id")
-    fs, top = _open(folder)
+    fs, top = open_store(folder)
     fs.create_dir(top, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        fs, top = _open(folder)
+        fs, top = open_store(folder)
         name = f"part-{task.partitionId():06d}.warc.gz"
         draft, n, size = f"{top}/.{name}.{task.taskAttemptId()}", 0, 0
         with fs.open_output_stream(draft) as out:
@@ -197,7 +192,7 @@ def read_archives(archives: DataFrame, range_bytes: int = RANGE_BYTES, payloads:
 
         for batch in batches:
             for path, size, start in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                fs, name = _open(path)
+                fs, name = open_store(path)
                 with fs.open_input_file(name) as source:
                     for fields, block in RangeReader(source, size, start, start + range_bytes):
                         http, _, payload = block.partition(b"\r\n\r\n")

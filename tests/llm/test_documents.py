@@ -223,6 +223,51 @@ def test_segments_open_and_close():
 # --- decontamination ---------------------------------------------------------------------------------------------
 
 
+def plain_words(text):
+    import re
+
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def longest_common(text, items):
+    """Words of the longest run that a text and any item share, by comparing all places."""
+    words, best = plain_words(text), 0
+    for _, item in items:
+        above = [0] * (len(words) + 1)
+        for w in plain_words(item):
+            above = [0, *(above[k] + 1 if words[k] == w else 0 for k in range(len(words)))]
+            best = max(best, *above)
+    return best
+
+
+def test_suffixes_are_in_order():
+    rng = np.random.default_rng(8)
+    for n, bits in ((0, 2), (1, 2), (60, 2), (300, 3), (300, 20)):
+        ids = np.append(rng.integers(0, min(1 << bits, 5), n), 0)
+        line = decontaminate.Line(ids, bits, 63 // bits if bits > 8 else 2)
+        whole = lambda p: ids[p : p + line.left[p]].tolist()
+        got = line.suffixes(n + 1)
+        assert sorted(got.tolist()) == np.flatnonzero(ids).tolist()
+        assert [whole(p) for p in got] == sorted(whole(p) for p in got)
+
+
+def test_large_benchmarks_stay_small_in_memory():
+    import pickle
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    items = [(str(i), " ".join(f"w{x}" for x in rng.integers(0, 60_000, 100)).encode()) for i in range(2000)]
+    tracemalloc.start()
+    index = decontaminate.TestIndex(items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # a tenth of a block's words
+    assert len(index.order) == 200_000 and peak < 150e6 and len(pickle.dumps(index, 5)) < 30e6
+    text = b"q " + items[7][1][20:300]
+    found = decontaminate.scan_shard(index, np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
+    assert found["items"] == {"7"} and found["n_hit"] >= 30
+
+
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(3)
     vocabulary = ["aa", "B", "c1", "é", "dd", "e"]
@@ -232,11 +277,16 @@ def test_decontamination_against_brute_force(spark):
     docs += [(100 + i, f"new {t} words") for i, t in items] + [(200, None), (201, "q " * 100)]
     docs += [(300, docs[5][1]), (300, docs[5][1])]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    for block_words in (1, 2_000_000):
-        for r in decontaminate.match_report(make(spark, docs), benchmark, block_words=block_words).collect():
+    for block_bytes in (60, 12 << 20):
+        for r in decontaminate.match_report(make(spark, docs), benchmark, block_bytes=block_bytes).collect():
             want = decontaminate.brute_force(dict(docs)[r["doc_id"]], items)
             got = (r["n_words"], r["n_hit"], len(r["items"]), hashlib.sha256(",".join(sorted(r["items"])).encode()).hexdigest())
-            assert got == want, (r["doc_id"], block_words)
+            assert got == want, (r["doc_id"], block_bytes)
+            longest, best = longest_common(dict(docs)[r["doc_id"]], items), r["longest"]
+            assert longest == (best["length"] if best else 0)
+            if best:
+                own, other = (plain_words(x)[y : y + longest] for x, y in ((dict(docs)[r["doc_id"]], best["word_start"]), (dict(items)[int(best["item_id"])], best["item_word_start"])))
+                assert own == other and len(own) == longest
 
 
 def test_longest_matches(spark):
@@ -252,7 +302,7 @@ def test_decontaminate_keeps_rows_as_they_are(spark, awkward, empty):
     assert clean.schema == awkward.schema
     assert sorted(str(r["doc_id"]) for r in clean.collect()) == sorted(str(i) for i, _ in AWKWARD if i not in (8, 9))
     two = benchmark.unionByName(spark.createDataFrame([(2, "one")], "item_id long, text string"))
-    by_block = decontaminate.decontaminate(awkward, two, block_words=1)
+    by_block = decontaminate.decontaminate(awkward, two, block_bytes=1)
     assert sorted(str(r["doc_id"]) for r in by_block.collect()) == sorted(str(i) for i, _ in AWKWARD if i not in (4, 5, 8, 9))
     assert decontaminate.decontaminate(awkward, benchmark.limit(0)).count() == len(AWKWARD)
     assert decontaminate.decontaminate(empty, benchmark).count() == 0
