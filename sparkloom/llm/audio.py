@@ -9,7 +9,8 @@ stream, each row with its time span; the last tensor of a clip is padded with th
 Each clip is computed by itself, so equal texts give equal values whatever stands beside them.
 
 Defined cases: null or empty text is one block of 64 zero bytes; a null doc_id is carried along; repeated rows
-repeat; a long clip is one row and is read whole; an empty table gives no rows; other columns are ignored.
+repeat; a long clip is one row, whose bytes are read whole but are resampled and transformed ``FRAMES_AT_ONCE`` frames at a
+time, so a clip takes some ten times its bytes; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ TAPS = 12
 FRAME, HOP, FFT = 200, 80, 256
 MELS = 20
 TENSOR_FRAMES = 32
+#: Frames that are resampled and transformed at once.
+FRAMES_AT_ONCE = 1024
 FLOOR = 1e-6
 #: Of the range between a clip's quietest and loudest frame: where a segment opens and closes.
 OPEN_AT, CLOSE_AT = 0.6, 0.4
@@ -77,26 +80,31 @@ def low_pass(up: int, down: int, taps: int = TAPS) -> np.ndarray:
     return h * (up / h.sum())
 
 
-def resample(x: np.ndarray, up: int = UP, down: int = DOWN) -> np.ndarray:
-    """Resample by up / down: each output takes the one phase of the filter that meets stored samples."""
+def resample(x: np.ndarray, up: int = UP, down: int = DOWN, first: int = 0, last: int | None = None) -> np.ndarray:
+    """Resample by up / down: each output takes the one phase of the filter that meets stored samples.
+
+    Only the outputs from ``first`` to before ``last`` are computed, from the samples that they need; 8-bit samples are
+    taken from -1 to 1.
+    """
     h = low_pass(up, down)
-    half, n = len(h) // 2, -(-len(x) * up // down)
-    out = np.zeros(n)
+    half, total = len(h) // 2, -(-len(x) * up // down)
+    last = total if last is None else min(last, total)
+    out = np.zeros(max(0, last - first))
     for phase in range(up):
-        # outputs m whose place m * down is phase modulo up: m = first, first + up, ...
-        first = next((m for m in range(up) if (m * down) % up == phase), None)
-        if first is None or first >= n:
+        # outputs m whose place m * down is phase modulo up: one in up
+        start = next((m for m in range(first, first + up) if (m * down) % up == phase), None)
+        if start is None or start >= last:
             continue
-        m = np.arange(first, n, up)
+        m = np.arange(start, last, up)
         lag = np.arange(-((half - phase) // up) if half >= phase else 0, (half + phase) // up + 1)
         taps = h[half + phase - lag * up] if len(lag) else np.zeros(0)
         centre = (m * down - phase) // up
-        low, high = int(lag[0]), int(lag[-1])
-        pad = np.concatenate([np.zeros(max(0, -low)), x, np.zeros(max(0, int(centre[-1]) + high + 1 - len(x)))])
-        base = centre + max(0, -low)
+        begin, end = int(centre[0] + lag[0]), int(centre[-1] + lag[-1]) + 1
+        part = x[max(0, begin) : max(0, end)]
+        part = (part.astype(np.float64) - 128) / 128 if part.dtype == np.uint8 else part
+        part = np.concatenate([np.zeros(max(0, -begin)), part, np.zeros(max(0, end - max(len(x), begin, 0)))])
         step = down if len(centre) > 1 else 1
-        view = np.lib.stride_tricks.sliding_window_view(pad, len(lag))[base[0] + low :: step][: len(m)]
-        out[m] = view @ taps
+        out[m - first] = np.lib.stride_tricks.sliding_window_view(part, len(lag))[::step][: len(m)] @ taps
     return out
 
 
@@ -115,12 +123,23 @@ def _window() -> np.ndarray:
     return np.hanning(FRAME + 1)[:-1]
 
 
+def _mels(frames: np.ndarray, rate: int) -> np.ndarray:
+    power = np.abs(np.fft.rfft(frames * _window(), FFT)) ** 2
+    return np.log(power @ mel_bank(rate).T + FLOOR)
+
+
 def log_mels(x: np.ndarray, rate: int) -> np.ndarray:
     """Frames by bands; a clip shorter than a frame is padded to one."""
     x = np.pad(x, (0, max(0, FRAME - len(x))))
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP] * _window()
-    power = np.abs(np.fft.rfft(frames, FFT)) ** 2
-    return np.log(power @ mel_bank(rate).T + FLOOR)
+    return _mels(np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP], rate)
+
+
+def clip_mels(samples: np.ndarray, rate: int) -> tuple[np.ndarray, int]:
+    """Log-mels of 8-bit samples after resampling, and the new rate; a run of frames at a time."""
+    n, rate = -(-len(samples) * UP // DOWN), rate * UP // DOWN
+    frames = max(1, (n - FRAME) // HOP + 1)
+    parts = [log_mels(resample(samples, UP, DOWN, i * HOP, (min(i + FRAMES_AT_ONCE, frames) - 1) * HOP + FRAME), rate) for i in range(0, frames, FRAMES_AT_ONCE)]
+    return np.concatenate(parts), rate
 
 
 def segments(energy: np.ndarray, open_at: float = OPEN_AT, close_at: float = CLOSE_AT) -> list[tuple[int, int]]:
@@ -166,9 +185,7 @@ def audio_features(media: DataFrame, with_tensors: bool = True) -> DataFrame:
                 stored = clip.as_buffer()
                 samples, rate = decode_wav(stored)
                 payload = samples.tobytes()
-                x = resample((samples.astype(np.float64) - 128) / 128)
-                out_rate = rate * UP // DOWN
-                mels = log_mels(x, out_rate)
+                mels, out_rate = clip_mels(samples, rate)
                 cuts = segments(mels.mean(1))
                 mean, spread = mels.mean(0), mels.std(0)
                 ms = 1000 * HOP / out_rate

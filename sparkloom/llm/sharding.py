@@ -6,12 +6,12 @@ its own and writes it; buckets one after another are a uniform random order of a
 of that order: shard s holds the places from floor(s N / n) to floor((s + 1) N / n), so row counts are at most
 one apart.
 
-The buckets are written to the shared folder once, with each row's place in its bucket; only the buckets' row counts
-(one number for each bucket) are then needed to give every row its shard and slot. A lost task is run again over the
+The buckets are written to the shared folder once, with each row's place in its bucket; the buckets' row counts, summed
+up in Spark, then give every row its shard and slot. A lost task is run again over the
 same input split, sorts its rows before it shuffles them, and so writes the same bucket.
 
 Defined cases: null text has size 1 and the checksum of no bytes; repeated rows and null doc_ids are rows like any
-other; fewer rows than shards leave shards empty; an empty table gives no rows; extra columns are written along,
+other; a very long text is a row like any other, and its bucket is as much larger; fewer rows than shards leave shards empty; an empty table gives no rows; extra columns are written along,
 whatever their names.
 """
 
@@ -21,17 +21,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, fresh_path, partitions, table, trimmed
+from .common import bounded, cut, fresh_path, partitions, table, trimmed
 
 SHARDS = 8
 BUCKET_BYTES = 16 << 20
 #: Buckets for each shuffle partition at least, so that partitions get nearly equal numbers of rows.
 SPREAD = 8
 SEED = 7
+#: Buckets whose counts are summed up together, before those of all such groups are.
+GROUP = 1024
+#: Buckets (12 bytes each) that are broadcast with the number of rows before them; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def fisher_yates(n: int, seed: tuple[int, ...]) -> np.ndarray:
@@ -79,19 +83,22 @@ def write_buckets(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_
     return spark.read.schema(schema).parquet(path), path
 
 
+def bucket_starts(written: DataFrame) -> DataFrame:
+    """bucket and before: how many rows stand in the buckets before it. One task sums up a number for each ``GROUP`` buckets only."""
+    sizes = cut(written.groupBy("bucket").count()).withColumn("part", F.floor(F.col("bucket") / GROUP))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    parts = sizes.groupBy("part").agg(F.sum("count").alias("rows")).select("part", F.coalesce(F.sum("rows").over(before.orderBy("part")), F.lit(0)).alias("start"))
+    inner = F.coalesce(F.sum("count").over(before.partitionBy("part").orderBy("bucket")), F.lit(0))
+    return sizes.select("part", "bucket", inner.alias("inner")).join(parts, "part").select("bucket", (F.col("start") + F.col("inner")).cast("long").alias("before"))
+
+
 def shard(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """row (all columns), shard and slot of every row, read back from the written buckets."""
     written, _ = write_buckets(docs, seed, bucket_bytes)
-    spark = docs.sparkSession
-    sizes = sorted(tuple(r) for r in written.groupBy("bucket").count().collect())
-    rows = sum(n for _, n in sizes)
-    before, offsets = 0, []
-    for b, n in sizes:
-        offsets.append((b, before))
-        before += n
-    # one row for each bucket: bounded by the input's bytes over the bucket size
-    offset = spark.createDataFrame(offsets, "bucket int, before long")
-    at = written.join(F.broadcast(offset), "bucket").withColumn("at", F.col("before") + F.col("place"))
+    starts = cut(bucket_starts(written))
+    rows = written.count()
+    small = starts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    at = written.join(F.broadcast(starts) if small else starts, "bucket").withColumn("at", F.col("before") + F.col("place"))
     begin = [s * rows // n_shards for s in range(n_shards)]
     found = F.lit(0)
     for s in range(1, n_shards):

@@ -165,6 +165,27 @@ def test_quality_keeps_all_columns(spark):
     assert len({i for i, _ in rows if i % 2} - ids) == 0 and not {i for i, _ in rows if i % 2 == 0 and i > 9} & ids
 
 
+def test_fit_is_the_plain_ridge_fit(spark):
+    """Weights and scores against one numpy fit over all labelled rows at once."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(docs, labels)
+    marks = {r["doc_id"]: float(r["quality"] > 0) for r in labels.where("quality IS NOT NULL").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
+    texts = [(r["doc_id"], r["text"] or "") for r in docs.collect() if r["doc_id"] in marks]
+    x, y = quality.statistics(pa.array([t for _, t in texts])), np.array([marks[i] for i, _ in texts])
+    centre, scale = x.mean(0), np.sqrt(np.maximum(1e-6, (x * x).mean(0) - x.mean(0) ** 2))
+    rng = np.random.default_rng(quality.SEED)
+    frequency, phase = rng.normal(size=(x.shape[1], quality.FEATURES)) / (2 * np.sqrt(x.shape[1])), rng.uniform(0, 2 * np.pi, quality.FEATURES)
+    z = np.hstack([np.cos(np.clip((x - centre) / scale, -8, 8) @ frequency + phase) * np.sqrt(2 / quality.FEATURES), np.ones((len(x), 1))])
+    weight = np.linalg.solve(z.T @ z + quality.RIDGE * np.eye(z.shape[1]), z.T @ y)
+    raw = lambda m: z @ m
+    np.testing.assert_allclose(raw(model.weight), raw(weight), atol=1e-5)
+    got = model.score(x)
+    # calibration keeps the order of the plain scores, and stands near the labels
+    order = np.argsort(raw(weight))
+    assert (np.diff(got[order]) >= -1e-3).all() and abs(got.mean() - y.mean()) < 0.05 and ((got >= quality.CUTOFF) == (y > 0)).mean() > 0.95
+
+
 def test_isotonic():
     got = quality.isotonic(np.arange(6), np.array([0, 1, 0, 2, 1, 3.0]), np.array([1, 1, 1, 2, 1, 3]))
     np.testing.assert_allclose(got, [0, 0.5, 0.5, 1, 1, 1])
@@ -211,6 +232,62 @@ def test_resample_is_the_full_convolution(up, down):
         np.testing.assert_allclose(audio.resample(x, up, down), np.convolve(wide, h)[len(h) // 2 :][: len(wide)][::down], atol=1e-12)
 
 
+def plain_feature(text):
+    """The feature of a text by sums over single samples, frames and bins."""
+    raw = text.encode()
+    raw += bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+    x = np.array([(b - 128) / 128 for b in raw])
+    t = np.arange(-24, 25) / 2
+    h = np.sinc(t) * np.hamming(49)
+    h /= h.sum()
+    y = [sum(h[24 - k] * x[2 * m + k] for k in range(-24, 25) if 0 <= 2 * m + k < len(x)) for m in range(len(x) // 2)]
+    y += [0] * (200 - len(y))
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edge = [700 * (10 ** (m / 2595) - 1) for m in np.linspace(mel(40), mel(4000), 22)]
+    rows = []
+    for at in range(0, len(y) - 199, 80):
+        w = [y[at + i] * (0.5 - 0.5 * np.cos(2 * np.pi * i / 200)) for i in range(200)]
+        power = [abs(sum(w[i] * np.exp(-2j * np.pi * k * i / 256) for i in range(200))) ** 2 for k in range(129)]
+        band = lambda j: sum(p * max(0, min((f - edge[j]) / (edge[j + 1] - edge[j]), (edge[j + 2] - f) / (edge[j + 2] - edge[j + 1]))) for p, f in zip(power, np.arange(129) * 31.25, strict=True))
+        rows.append([np.log(band(j) + 1e-6) for j in range(20)])
+    mels = np.array(rows)
+    energy = mels.mean(1)
+    on, cuts, start = False, [], 0
+    for i, e in enumerate([*energy, -np.inf]):
+        level = (e - energy.min()) / max(energy.max() - energy.min(), 1e-12)
+        if not on and level >= 0.6:
+            on, start = True, i
+        elif on and level < 0.4:
+            on = False
+            cuts.append((start, i))
+    if energy.max() - energy.min() < 1e-9:
+        cuts = []
+    return mels, f"frames={len(mels)};segments={len(cuts)};active={sum(b - a for a, b in cuts)};mean=" + ",".join(f"{v:.2f}" for v in mels.mean(0)) + ";std=" + ",".join(f"{v:.2f}" for v in mels.std(0))
+
+
+def test_features_against_plain_sums(spark, monkeypatch):
+    texts = ["", "short", "The quick brown fox. " * 30, "aaaa zzzz é😀 " * 40]
+    for at_once in (1, 3, 1024):
+        monkeypatch.setattr(audio, "FRAMES_AT_ONCE", at_once)
+        for text in texts:
+            raw = text.encode()
+            samples = np.frombuffer(raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw)), np.uint8)
+            np.testing.assert_allclose(audio.clip_mels(samples, 16_000)[0], plain_feature(text)[0], atol=1e-8)
+    rows = audio.audio_features(audio.store(make(spark, list(enumerate(texts))))).collect()
+    assert {r["doc_id"]: r["feature"] for r in rows} == {i: plain_feature(t)[1] for i, t in enumerate(texts)}
+
+
+def test_long_clips_take_bounded_memory():
+    import tracemalloc
+
+    samples = np.random.default_rng(1).integers(32, 127, 4_000_000).astype(np.uint8)
+    tracemalloc.start()
+    audio.clip_mels(samples, 16_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6 + 4 * len(samples)
+
+
 def test_segments_open_and_close():
     e = np.array([0, 0.5, 0.7, 0.5, 0.45, 0.3, 0.5, 1.0, 0.41])
     assert audio.segments(e) == [(2, 5), (7, 9)]
@@ -394,6 +471,22 @@ def test_sharding(spark, awkward, bucket_bytes):
     assert again == {str(tuple(r["row"])): (r["shard"], r["slot"]) for r in rows if r["row"]["doc_id"] != 5}
 
 
+def test_sharding_is_a_plain_scatter_and_shuffle(spark, monkeypatch):
+    docs = make(spark, [(i, f"text {i}") for i in range(300)]).repartition(3).cache()
+    rows = [(r["origin"], r["doc_id"], r["bucket"]) for r in docs.select(F.monotonically_increasing_id().alias("origin"), "doc_id").withColumn("bucket", F.pmod(F.xxhash64(F.lit(sharding.SEED), "origin"), F.lit(32))).collect()]
+    order = []
+    for b in range(32):
+        own = sorted((o, i) for o, i, k in rows if k == b)
+        np.random.default_rng((sharding.SEED, b)).shuffle(own)
+        order += [i for _, i in own]
+    edge = [s * 300 // 8 for s in range(9)]
+    want = {order[at]: (s, at - edge[s]) for s in range(8) for at in range(edge[s], edge[s + 1])}
+    for limit in (10**6, 0):
+        monkeypatch.setattr(sharding, "BROADCAST_ROWS", limit)
+        monkeypatch.setattr(sharding, "GROUP", 5)
+        assert {r["row"]["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shard(docs).collect()} == want
+
+
 def test_sharding_edges(spark, empty):
     assert sharding.shard(empty).count() == 0
     assert sorted((r["shard"], r["slot"]) for r in sharding.shard(make(spark, [(1, "a"), (2, None)]), 8).collect()) == [(3, 0), (7, 0)]
