@@ -40,8 +40,10 @@ from .words import NONSPACE, chunks, mix, shingles, utf8, word_hashes
 SHINGLE = 5
 #: Threshold in hundredths: link when 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 75
-#: Groups of a point.
+#: Groups of a point. Larger sets have a finer point too, of four times as many groups for each step that a set reaches, for
+#: pairs that their trees return.
 GROUPS = 256
+STEPS = (1024, 4096, 16384)
 #: A shingle that two sets of one window share counts as frequent. Windows hold 32-bit fingerprints of shingles.
 OFTEN = 2
 WINDOW_SHINGLES = 6_000_000
@@ -95,6 +97,17 @@ def unpacked(raw: list[bytes], g: int = GROUPS) -> np.ndarray:
     return np.stack([np.frombuffer(x, "<u1" if len(x) == g else "<u4").astype(np.uint32) for x in raw])
 
 
+def groups(n: int) -> int:
+    return GROUPS << 2 * sum(n >= step for step in STEPS)
+
+
+def most_shared(p: bytes, n_p: int, q: bytes, n_q: int) -> int:
+    """What two sets share at most by their finer points, in the finest groups both have (which nest in coarser ones)."""
+    g, h = groups(n_p), groups(n_q)
+    a, b = (unpacked([x], k)[0].astype(np.int64).reshape(min(g, h), -1).sum(1) for x, k in ((p, g), (q, h)))
+    return int(np.minimum(a, b).sum())
+
+
 def least_shared(threshold: int = THRESHOLD) -> int:
     """What two different sets that link share at least: 100 s >= threshold (s + 1). The smaller of them may be no more than that."""
     return -(-threshold // (100 - threshold)) if threshold < 100 else 1 << 62
@@ -115,7 +128,7 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int, column: int = 1) -> Iter
 
 
 def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """kind 0: doc_id, set id, set size, point and text's hash of every row. kind 1: fingerprint of a shingle often seen in a window, and how often."""
+    """kind 0: doc_id, set id, set size, point, finer point (of larger sets) and text's hash of every row. kind 1: fingerprint of a shingle often seen in a window, and how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -129,12 +142,14 @@ def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             head = np.flatnonzero(np.append(True, marks[1:] != marks[:-1]))
             count = np.diff(np.append(head, len(marks)))
             value, count = marks[head[count >= OFTEN]], count[count >= OFTEN]
-            return _rows(np.ones(len(value), np.int32), pa.nulls(len(value), pa.int64()), value.astype(np.int64), count, pa.nulls(len(value), pa.binary()), pa.nulls(len(value), pa.int64()))
+            none = pa.nulls(len(value), pa.binary())
+            return _rows(np.ones(len(value), np.int32), pa.nulls(len(value), pa.int64()), value.astype(np.int64), count, none, none, pa.nulls(len(value), pa.int64()))
 
         for batch, i, sets in _sets(batches, size):
             ids = [set_id(s) for s in sets]
             point = pa.array([packed(points(s)) for s in sets], pa.binary())
-            yield _rows(np.zeros(len(sets), np.int32), batch.column(0).slice(i, len(sets)), np.array(ids, np.int64), np.array([len(s) for s in sets], np.int64), point, batch.column(2).slice(i, len(sets)))
+            fine = pa.array([packed(points(s, groups(len(s)))) if len(s) >= STEPS[0] else None for s in sets], pa.binary())
+            yield _rows(np.zeros(len(sets), np.int32), batch.column(0).slice(i, len(sets)), np.array(ids, np.int64), np.array([len(s) for s in sets], np.int64), point, fine, batch.column(2).slice(i, len(sets)))
             for x, s in zip(ids, sets, strict=True):
                 if x not in seen and len(s):
                     seen.add(x)
@@ -148,15 +163,15 @@ def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         if window:
             yield often()
 
-    return with_text(docs).withColumn("mark", F.xxhash64("text")).mapInArrow(trimmed(run), "kind int, doc_id long, id long, n long, point binary, mark long")
+    return with_text(docs).withColumn("mark", F.xxhash64("text")).mapInArrow(trimmed(run), "kind int, doc_id long, id long, n long, point binary, fine binary, mark long")
 
 
 def fingerprints(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(32)).astype(np.uint32)
 
 
-def _rows(kind, doc, value, n, point, mark) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), doc, pa.array(value, pa.int64()), pa.array(n, pa.int64()), point, mark], names=["kind", "doc_id", "id", "n", "point", "mark"])
+def _rows(kind, doc, value, n, point, fine, mark) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), doc, pa.array(value, pa.int64()), pa.array(n, pa.int64()), point, fine, mark], names=["kind", "doc_id", "id", "n", "point", "fine", "mark"])
 
 
 def frequency_ranks(rows: DataFrame, most: int | None = None) -> np.ndarray:
@@ -359,15 +374,26 @@ def _searched(threshold: int):
             # of two sets that ask each other, the first asks
             keep = (comp[q] != comp[r]) & ((sid[q] < sid[r]) | ~asks[r])
             q, r = q[keep], r[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(sid[q]), pa.array(sid[r])], names=["hub", "sid"])
+            large = (n[q] >= STEPS[0]) & (n[r] >= STEPS[0])
+            yield pa.RecordBatch.from_arrays([pa.array(sid[q]), pa.array(sid[r]), pa.array(large)], names=["hub", "sid", "large"])
 
     return run
 
 
 def searched(rows: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (hub, sid) that the trees of rows (task, asks, held, sid, comp) return."""
+    """Pairs (hub, sid) that the trees of rows (task, asks, held, sid, comp) return, and that their finer points allow if both have one."""
     dealt = rows.join(classes.select("sid", "n", "point"), "sid").select("task", "asks", "held", "sid", "comp", "n", "point")
-    return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(trimmed(_searched(threshold)), "hub long, sid long").distinct()
+    pairs = cut(dealt.repartition("task").sortWithinPartitions("task").mapInArrow(trimmed(_searched(threshold)), "hub long, sid long, large boolean").distinct())
+    fine = classes.where("fine IS NOT NULL")
+    both = pairs.where("large").join(fine.select(F.col("sid").alias("hub"), F.col("n").alias("n_hub"), F.col("fine").alias("hub_fine")), "hub").join(fine.select("sid", "n", "fine"), "sid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [bool(reaches(most_shared(p, a, q, b), a, b, threshold)) for p, a, q, b in zip(*(batch.column(c).to_pylist() for c in range(2, 6)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["hub", "sid"]).filter(pa.array(ok, pa.bool_()))
+
+    finer = both.select("hub", "sid", "hub_fine", "n_hub", "fine", "n").mapInArrow(trimmed(run), "hub long, sid long")
+    return pairs.where("NOT large").select("hub", "sid").unionByName(finer)
 
 
 def _links(threshold: int):
@@ -500,8 +526,8 @@ def marked_components(docs: DataFrame, size: int = SHINGLE, threshold: int = THR
     members = cut(companions(meetings(docs, frequency_ranks(rows), size, threshold)))
     # a row without doc_id stands for a set only where no other does
     one = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("one")
-    classes = rows.where("kind = 0 AND n > 0").groupBy(F.col("id").alias("sid")).agg(one, *[F.first(c).alias(c) for c in ("n", "point")])
-    classes = cut(classes.select("sid", "one.doc_id", "one.mark", "n", "point"))
+    classes = rows.where("kind = 0 AND n > 0").groupBy(F.col("id").alias("sid")).agg(one, *[F.first(c).alias(c) for c in ("n", "point", "fine")])
+    classes = cut(classes.select("sid", "one.doc_id", "one.mark", "n", "point", "fine"))
     label = class_links(docs, members, classes, size, threshold)
     named = classes.select("sid", "doc_id", F.col("sid").alias("component"))
     if label is not None:

@@ -620,6 +620,14 @@ def test_points_bound_overlap():
         b = np.unique(np.concatenate([a[: n // 2], rng.integers(0, 2**63, m, dtype=np.int64).astype(np.uint64)]))
         p, q = (jaccard.unpacked([jaccard.packed(jaccard.points(x))])[0].astype(int) for x in (a, b))
         assert len(np.intersect1d(a, b)) <= np.minimum(p, q).sum() <= min(len(a), len(b))
+        p, q = (jaccard.packed(jaccard.points(x, jaccard.groups(len(x)))) for x in (a, b))
+        assert len(np.intersect1d(a, b)) <= jaccard.most_shared(p, len(a), q, len(b)) <= min(len(a), len(b))
+
+
+def test_jaccard_of_long_documents(spark):
+    rows = near_copies(5, 2, 4, 1500, 0.002, [f"p{i}" for i in range(900)]) + [(100 + i, t) for i, t in near_copies(6, 3, 1, 5000, 0)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(make(spark, rows)).collect()}
+    assert got == jaccard.brute_force(rows)
 
 
 def test_one_of_each(spark, awkward, empty):
