@@ -63,7 +63,7 @@ SPLIT = 8
 VERIFIED_AT_ONCE = 64
 #: Rounds of searching with pivots at most; and they end when so many pairs for each set are left, or fewer than a share of them went.
 ROUNDS = 6
-PAIRS_A_SET = 8
+PAIRS_A_SET = 64
 PAYS = 0.8
 #: Children of a tree node, rows that a task searches at once, and tree nodes that are compared at once.
 LEAF = 16
