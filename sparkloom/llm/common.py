@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,11 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    A session without one gets an error, as executors on other machines could not see a temporary folder of the driver's.
+    Where the session names none, a temporary folder serves if the driver and its tasks are one process; otherwise there is
+    an error, as executors could not see a folder of the driver's.
     """
     where = spark.conf.get(CHECKPOINT_KEY, None)
     if not where:
-        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
+        where = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
+        spark.conf.set(CHECKPOINT_KEY, where)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(where)
     return where
